@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_dup, sharding
+from . import decontaminate, mixing, near_dup, quality, sharding, suffix_dedup, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": sharding.query,
         "op4_mixing": mixing.query,
+        "op5_token_files": token_files.query,
         "op7_near_dup": near_dup.query,
+        "op8_decontaminate": decontaminate.query,
+        "op9_quality": quality.query,
+        "op10_suffix_dedup": suffix_dedup.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_decontaminate": decontaminate.ORACLE}
