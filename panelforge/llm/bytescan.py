@@ -70,10 +70,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Hasher:
     """Hashes of any byte ranges of an array, each in constant time."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, seed: int = 7):
         powers, self.inverse = _powers(max(10, int(len(data) + 1).bit_length()))
         self.sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(_letters()[data] * powers[: len(data)], out=self.sums[1:])
+        np.cumsum(_letters(seed)[data] * powers[: len(data)], out=self.sums[1:])
 
     def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(U64))
