@@ -85,6 +85,12 @@ class Fit:
     cutoffs: DataFrame | None = None
     signs: DataFrame | None = None
     factors: list[str] = field(default_factory=list)
+    held: list[DataFrame] = field(default_factory=list, repr=False)
+
+    def release(self) -> None:
+        """Drop what the fit keeps in memory; its tables are computed anew if read again."""
+        for df in self.held:
+            df.unpersist()
 
     def predict(self, x: DataFrame) -> DataFrame:
         """panel, lam, t, asset, y_hat."""
@@ -172,16 +178,21 @@ def fit(model: FactorModel, x: DataFrame, y: DataFrame, clusters: DataFrame | No
     lams = [model.lam] if lams is None else list(lams)
     if not lams or min(lams) < 0:
         raise ValueError("penalties must be given and not negative")
-    factors = sorted(r.factor for r in x.select("factor").distinct().collect())
+    # the panels are read by every step below; they go with Fit.release()
+    raw_x, raw_y = x.select("panel", "t", "factor", "x").persist(), y.select("panel", "t", "asset", "y").persist()
+    held = [raw_x, raw_y]
+    factors = sorted(r.factor for r in raw_x.select("factor").distinct().collect())
     m = len(factors)
     kind = model.model
-    raw_x, raw_y = x.select("panel", "t", "factor", "x"), y.select("panel", "t", "asset", "y")
     if not model.demean:
         xd, yd = raw_x, raw_y
     elif model.span is None:
         xd, yd = demean(raw_x, "factor", "x"), demean(raw_y, "asset", "y")
     else:
         xd, yd = ewm_demean(raw_x, "factor", "x", model.span), ewm_demean(raw_y, "asset", "y", model.span)
+    if model.demean:
+        xd, yd = xd.persist(), yd.persist()
+        held += [xd, yd]
     merges = cutoffs = None
     if kind in (Model.HCGL, Model.FCGL, Model.COOPERATIVE) and clusters is None:
         clusters, merges, cutoffs = group_arrays(model, yd)
@@ -201,6 +212,7 @@ def fit(model: FactorModel, x: DataFrame, y: DataFrame, clusters: DataFrame | No
         mom = moments(xd, weighted, factors)
     else:
         mom = moments(xd, weighted, factors).persist()
+        held.append(mom)
         unit = F.col("asset") if clusters is None else F.col("cluster")
         data = mom if clusters is None else mom.join(clusters, ["panel", "asset"])
         data = data.withColumn("unit", unit)
@@ -232,6 +244,7 @@ def fit(model: FactorModel, x: DataFrame, y: DataFrame, clusters: DataFrame | No
         solve = _solver(model, m, lams, given_signs=derived is not None and model.auto_signs or signs is not None)
         coef = data.select("panel", "unit", "asset", "rows", "g", "c", "size", "groups", "cells").groupBy("panel", "unit").applyInPandas(solve, "panel string, asset string, lam double, betas array<double>")
     coef = coef.persist()
+    held.append(coef)
     counts = raw_y.groupBy("panel", "asset").agg(F.count("y").alias("n_valid"))
     coef = coef.join(counts, ["panel", "asset"])
     if model.warmup is not None:
@@ -247,7 +260,7 @@ def fit(model: FactorModel, x: DataFrame, y: DataFrame, clusters: DataFrame | No
         stats = stats.withColumn(c, F.when(~F.col("young"), F.col(c)))
     stats = stats.withColumn("status", F.when(F.col("young"), "warm-up").when(F.col("alpha").isNull(), "too few rows").otherwise("ok")).drop("young")
     long = coef.select("panel", "lam", "asset", F.posexplode("betas").alias("i", "beta")).select("panel", "lam", "asset", F.element_at(F.array(*map(F.lit, factors)), F.col("i") + 1).alias("factor"), "beta")
-    return Fit(model, long, stats, clusters, merges, cutoffs, derived, factors)
+    return Fit(model, long, stats, clusters, merges, cutoffs, derived, factors, held)
 
 
 def _solver(model: FactorModel, m: int, lams: list[float], given_signs: bool):

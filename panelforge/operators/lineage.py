@@ -218,7 +218,7 @@ EVENTS = "panel string, kind string, idx int, label string, track string, parent
 def tracks(fp: DataFrame, candidate: DataFrame, method: str = "chains", window: int = 1, scale: int = 10_000) -> DataFrame:
     """Rows of kind 'label' (idx, label, track) and 'event' (idx, parent, child, event). candidate: see `links`."""
     nodes = fp.select("panel", "idx", "label")
-    edges = candidate.select("panel", "i", "a", "j", "b", "weight")
+    edges = candidate.select(F.col("panel").alias("p"), "i", "a", "j", "b", "weight")
 
     def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         panel = n["panel"].iloc[0]
@@ -229,7 +229,7 @@ def tracks(fp: DataFrame, candidate: DataFrame, method: str = "chains", window:
         out += [(panel, "event", i, None, None, p, c, k) for p, c, i, k in events]
         return pd.DataFrame(out, columns=[c.split()[0] for c in EVENTS.split(", ")])
 
-    return nodes.groupBy("panel").cogroup(edges.groupBy("panel")).applyInPandas(run, EVENTS)
+    return nodes.groupBy("panel").cogroup(edges.groupBy("p")).applyInPandas(run, EVENTS)
 
 
 def classify(tracked: DataFrame, fp: DataFrame, mixed: float = 0.6, core: float = 0.8, transient: float = 0.2) -> DataFrame:
