@@ -126,19 +126,25 @@ def components(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFram
 def _rest(buckets: DataFrame, comp: DataFrame, size: DataFrame, sets_of, per_cent: int, scratch: Scratch) -> DataFrame | None:
     """Candidates (a, b) that the stars left out and that can't be ruled out, in buckets with more than one component."""
     c = comp.join(size, comp["node"] == size["doc_id"]).select("node", "component", "n")
-    b = buckets.join(c, buckets["doc_id"] == c["node"]).select("band", "key", "doc_id", "component", "n")
-    mixed = b.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "key")
-    docs = scratch.save(b.join(mixed, ["band", "key"]).select("doc_id", "component", "n").distinct(), "mixed")
+    # the hub's component against the members': a bucket is mixed if one of them is in another
+    b = buckets.join(c, buckets["doc_id"] == c["node"]).select("key", "hub", "doc_id", "component", "n")
+    of_hub = comp.select(F.col("node").alias("hub"), F.col("component").alias("main"))
+    mixed = b.join(of_hub, "hub").where("component <> main").select("key").distinct()
+    docs = scratch.save(b.join(mixed, "key").select("doc_id", "component", "n").distinct(), "mixed")
     if docs.isEmpty():
         return None
-    s = sets_of(docs.select("doc_id")).join(docs, "doc_id")
-    t = scratch.save(s.select("doc_id", "component", "n", F.explode("set").alias("token")), "tokens")
-    df = t.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    # the place of a token in its set, rarest first; only those of the first n - ceil(n * share) + 1 can be a first shared one
-    t = t.join(df, "token").groupBy("doc_id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token", (F.col("lo") < F.col("hi")).alias("mixed")))).alias("o"))
+    s = scratch.save(sets_of(docs.select("doc_id")), "sets")
+    t = s.select("doc_id", F.explode("set").alias("token"))
+    of = docs.select("doc_id", "component")
+    df = t.join(of, "doc_id").groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    # tokens of one document alone come first in its order and are only counted; the others follow, rarest first.
+    # Of a set only the first n - ceil(n * share) + 1 can hold the first token that it shares with a similar one
+    df = scratch.save(df.where("df > 1").select("token", "df", (F.col("lo") < F.col("hi")).alias("mixed")), "df")
+    t = t.join(df, "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "token", "mixed"))).alias("o")).join(docs, "doc_id")
     keep = F.col("n") - F.ceil(F.col("n") * per_cent / 100.0 - 1e-9) + 1
-    t = t.select("doc_id", "component", "n", F.posexplode(F.slice("o", F.lit(1), keep.cast("int"))).alias("at", "x")).where("x.mixed")
-    t = scratch.save(t.select("doc_id", "component", "n", "at", F.col("x.token").alias("token")), "prefix")
+    alone = F.col("n") - F.size("o")
+    t = t.withColumn("alone", alone).where(keep > F.col("alone")).select("doc_id", "component", "n", "alone", F.posexplode(F.slice("o", F.lit(1), (keep - F.col("alone")).cast("int"))).alias("at", "x")).where("x.mixed")
+    t = scratch.save(t.select("doc_id", "component", "n", (F.col("alone") + F.col("at")).alias("at"), F.col("x.token").alias("token")), "prefix")
     # the component that most of a token's documents are in needs no pairs within itself
     main = t.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     side = t.join(main, "token").where("component <> main").drop("main", "kinds")
@@ -160,9 +166,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, bands:
     member = whole.join(reps, ["d1", "d2", "n"])
     same = scratch.save(member.select("doc_id", "rep").distinct(), "same")
     nodes = whole.join(same.where("doc_id = rep").select("doc_id").distinct(), "doc_id")
-    buckets = scratch.save(nodes.select("doc_id", F.posexplode("keys").alias("band", "key")).distinct(), "buckets")
-    hubs = buckets.groupBy("band", "key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    stars = scratch.save(buckets.join(hubs, ["band", "key"]).where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
+    # a key holds its band; a bucket that only one document is in goes at once
+    buckets = nodes.select("doc_id", F.explode("keys").alias("key"))
+    hubs = buckets.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").drop("last")
+    buckets = scratch.save(buckets.join(hubs, "key"), "buckets")
+    stars = scratch.save(buckets.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         return d.join(ids.distinct(), "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, set array<long>").dropDuplicates(["doc_id"])
@@ -177,8 +185,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, bands:
     size = nodes.groupBy("doc_id").agg(F.max("n").alias("n"))
     ids = nodes.select(F.col("doc_id").alias("node")).distinct()
     comp = scratch.save(components(ids, links, scratch), "components")
-    crowded = buckets.join(hubs, ["band", "key"]).drop("hub")
-    more = _rest(crowded, comp, size, sets_of, per_cent, scratch)
+    more = _rest(buckets, comp, size, sets_of, per_cent, scratch)
     if more is not None:
         more = linked(scratch.save(more, "rest"))
         if not more.isEmpty():
