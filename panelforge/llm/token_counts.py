@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import only, table
-from .token_files import Encoder, vocabulary_path
+from .token_files import Encoder, encoder, vocabulary_path
 
 
 def token_bytes(encoder: Encoder) -> np.ndarray:
@@ -47,15 +47,15 @@ def _counts(path: str, own_sections: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_sections", pa.int64()), ("n_crossing", pa.int64()), ("section_tokens", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
-        size = token_bytes(encoder)
+        e = encoder(path)
+        size = token_bytes(e)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 some = batch.slice(lo, 256)
                 texts = [t or "" for t in some.column(1).to_pylist()]
                 rows = []
-                for i, (text, ids) in enumerate(zip(texts, encoder.encode(texts), strict=True)):
-                    ends = np.cumsum(size[np.frombuffer(ids, "<u4")])
+                for i, (text, ids) in enumerate(zip(texts, e.encode(texts), strict=True)):
+                    ends = np.cumsum(size[np.frombuffer(ids, e.kind)])
                     raw = np.frombuffer(text.encode(), np.uint8)
                     if len(ends) and ends[-1] != len(raw):
                         raise ValueError("the vocabulary does not cover the bytes of a text")

@@ -4,6 +4,8 @@ Encoding. Pieces of a text that begin at a space are encoded by the tokenizer ea
 
 Codes. The counts of all ids are summed over the corpus; package-merge gives code lengths of at most LIMIT bits, canonical codes follow from the lengths. One table serves all files.
 
+Between the two passes ids are kept as 16-bit numbers where the vocabulary allows it.
+
 File format, little-endian: b"PFHC", version u32, documents u32, blocks u32, ids u64, payload bytes u64; doc_id i64 per document; ids u32 per document; bit offset u64 per block (a checkpoint every BLOCK ids); payload. A block is decoded by its offset alone, with a table of 2**LIMIT entries that gives id and length for the next bits; blocks are decoded side by side, one id of each at a time. Files are in ascending order of doc_id and so are the documents in each. They are rows of a Parquet table (part, data), since only Spark's writers reach every store.
 
 Results in special cases: null text is empty and has the end id alone; a null doc_id comes first and is kept; rows that repeat a doc_id follow each other; an empty table gives no rows.
@@ -27,7 +29,7 @@ from .common import Scratch, only, table
 
 MAGIC, VERSION = b"PFHC", 1
 #: Longest code, ids in a block, bytes of ids in a part, pieces that a worker remembers.
-LIMIT, BLOCK, PART_BYTES, MEMORY = 20, 128, 8 << 20, 1_500_000
+LIMIT, BLOCK, PART_BYTES, MEMORY = 20, 128, 8 << 20, 2_000_000
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -39,7 +41,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Encoder:
-    """Ids of texts as bytes of little-endian u32, by the tokenizer of a file."""
+    """Ids of texts as bytes of little-endian numbers of type `kind`, by the tokenizer of a file."""
 
     SEPARATOR = "<|endoftext|>"  # a special token: never part of a piece's ids
 
@@ -49,10 +51,11 @@ class Encoder:
 
         self.tokenizer, self.memory = Tokenizer.from_file(path), memory
         self.separator = self.tokenizer.token_to_id(self.SEPARATOR)
+        self.kind = id_kind(self.tokenizer.get_vocab_size(with_added_tokens=True))
         self.known: dict[str, bytes | int] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
         """Pieces without the space they begin with. What ends in white space can't be told from what follows; it is marked by 0."""
@@ -68,57 +71,83 @@ class Encoder:
                 plain.append(p)
         for lo in range(0, len(plain), 4096):
             some = plain[lo : lo + 4096]
-            ids = np.array(self.tokenizer.encode(" " + f"{self.SEPARATOR} ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode(" " + f"{self.SEPARATOR} ".join(some), add_special_tokens=False).ids, self.kind)
             ends = np.append(np.flatnonzero(ids == self.separator), len(ids)).tolist()
-            raw, start = ids.tobytes(), 0
+            raw, start, w = ids.tobytes(), 0, ids.itemsize
             for p, end in zip(some, ends, strict=True):
-                self.known[p] = raw[4 * start : 4 * end]
+                self.known[p] = raw[w * start : w * end]
                 start = end + 1
 
+    def _joined(self, first: str, rest: list[str]) -> bytes | None:
+        """None if a piece isn't known or can't stand alone."""
+        if rest and first[-1:].isspace():
+            return None
+        try:
+            return (self.whole(first) if first else b"") + b"".join(map(self.known.get, rest))
+        except TypeError:
+            return None
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
+        out: list = []
         for lo in range(0, len(texts), 64):
-            split = [t.split(" ") for t in texts[lo : lo + 64]]
-            new = {p for w in split for p in w[1:] if p not in self.known}
+            some = texts[lo : lo + 64]
+            split = [t.split(" ") for t in some]
+            done = [self._joined(w[0], w[1:]) for w in split]
+            again = [i for i, x in enumerate(done) if x is None]
+            new = {p for i in again for p in split[i][1:] if p not in self.known}
             if new:
                 self._learn(list(new))
-            known = self.known
-            for text, w in zip(texts[lo : lo + 64], split, strict=True):
-                if w[0] and w[0][-1].isspace():
-                    out.append(self.whole(text))
-                    continue
-                try:
-                    out.append((self.whole(w[0]) if w[0] else b"") + b"".join([known[p] for p in w[1:]]))
-                except (TypeError, KeyError):  # a piece that can't stand alone
-                    out.append(self.whole(text))
+            for i in again:
+                joined = self._joined(split[i][0], split[i][1:])
+                done[i] = self.whole(some[i]) if joined is None else joined
+            out += done
         return out
 
 
+def id_kind(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, which remembers pieces from task to task."""
+    return Encoder(path)
+
+
 def _encoded(path: str, end_id: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        e = encoder(path)
+        end = np.array([end_id], e.kind).tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 some = batch.slice(lo, 256)
-                raw = [x + end for x in encoder.encode([t or "" for t in some.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array(raw, pa.binary())], schema=schema)
+                raw = [x + end for x in e.encode([t or "" for t in some.column(1).to_pylist()])]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(x) // len(end) for x in raw], pa.int64()), pa.array(raw, pa.binary())], schema=schema)
 
     return run
 
 
-def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for x in batch.column(0):
-            n = np.bincount(np.frombuffer(x.as_buffer(), "<u4"))
+def _flat(column: pa.Array, kind: str) -> np.ndarray:
+    """All ids of a column of binaries, where Arrow has them."""
+    _, offs, data = column.buffers()
+    offs = np.frombuffer(offs, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]].view(kind) if len(column) and offs[-1] > offs[0] else np.zeros(0, kind)
+
+
+def _count_ids(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            n = np.bincount(_flat(batch.column(0), kind))
             if len(n) > len(total):
                 n, total = total, n
             total[: len(n)] += n
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at].astype(np.int64))], names=["id", "n"])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at].astype(np.int64))], names=["id", "n"])
+
+    return run
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -175,23 +204,28 @@ class Code:
         self.table_id[: spans.sum()] = np.repeat(used, spans)
         self.table_length[: spans.sum()] = np.repeat(self.lengths[used], spans)
 
-    def encode(self, ids: np.ndarray) -> tuple[np.ndarray, bytes]:
-        """(bit offset of each block, the bits). First bits are the highest of a byte."""
-        n = self.lengths[ids]
-        ends = np.cumsum(n)
-        starts = ends - n
-        total = int(ends[-1]) if len(ids) else 0
+    def encode(self, ids: np.ndarray, piece: int = 1 << 15) -> tuple[np.ndarray, bytes]:
+        """(bit offset of each block, the bits). First bits are the highest of a byte. Works on `piece` ids at a time, which stay in the processor's cache."""
+        total = int(self.lengths[ids].sum()) if len(ids) else 0
         words = np.zeros((total + 63) // 64 + 1, np.uint64)
-        at, into = starts >> 6, starts & 63
-        code = self.codes[ids]
-        room = 64 - into - n  # bits left in the word; below 0 the code runs on into the next
-        high = np.where(room >= 0, code << np.maximum(room, 0).astype(np.uint64), code >> np.maximum(-room, 0).astype(np.uint64))
-        if len(ids):
-            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            words[at[first]] = np.bitwise_or.reduceat(high, first)
+        offsets, base = [], 0
+        for lo in range(0, len(ids), piece):
+            some = ids[lo : lo + piece]
+            n, code = self.lengths[some], self.codes[some]
+            ends = np.cumsum(n)
+            ends += base
+            starts = ends - n
+            base = int(ends[-1])
+            at = starts >> 6
+            room = 64 - (starts & 63) - n  # bits left in the word; below 0 the code runs on into the next
             over = np.flatnonzero(room < 0)
+            high = code << np.maximum(room, 0).astype(np.uint64)
+            high[over] = code[over] >> (-room[over]).astype(np.uint64)
+            first = np.flatnonzero(np.diff(at, prepend=-1))
+            words[at[first]] |= np.bitwise_or.reduceat(high, first)
             words[at[over] + 1] |= code[over] << (64 + room[over]).astype(np.uint64)
-        return starts[::BLOCK].astype(np.uint64), words.astype(">u8").tobytes()[: (total + 7) // 8]
+            offsets.append(starts[-lo % BLOCK :: BLOCK])
+        return np.concatenate(offsets or [np.zeros(0)]).astype(np.uint64), words.astype(">u8").tobytes()[: (total + 7) // 8]
 
     def decode(self, offsets: np.ndarray, payload: bytes, count: int) -> np.ndarray:
         """The ids. Every block is read by its offset alone."""
@@ -211,12 +245,12 @@ class Code:
         return out.reshape(-1)[:count]
 
 
-def write_part(code: Code, doc_ids: list, raw: list[bytes]) -> bytes:
-    ids = np.frombuffer(b"".join(raw), "<u4")
+def write_part(code: Code, doc_ids: list, raw: list[bytes], kind: str = "<u4") -> bytes:
+    ids = np.frombuffer(b"".join(raw), kind)
     offsets, payload = code.encode(ids)
     null = [i for i, x in enumerate(doc_ids) if x is None]
     head = MAGIC + struct.pack("<IIIQQI", VERSION, len(raw), len(offsets), len(ids), len(payload), len(null))
-    parts = (np.array([x or 0 for x in doc_ids], "<i8"), np.array([len(x) // 4 for x in raw], "<u4"), np.array(null, "<u4"), offsets.astype("<u8"))
+    parts = (np.array([x or 0 for x in doc_ids], "<i8"), np.array([len(x) // ids.itemsize for x in raw], "<u4"), np.array(null, "<u4"), offsets.astype("<u8"))
     return head + b"".join(x.tobytes() for x in parts) + payload
 
 
@@ -248,7 +282,8 @@ def _code(lengths: bytes) -> Code:
     return Code(np.frombuffer(lengths, np.uint8))
 
 
-def _written(lengths):
+def _written(lengths, kind: str):
+    width = np.dtype(kind).itemsize
     schema = pa.schema([("part", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,8 +293,8 @@ def _written(lengths):
         number = 0
 
         def out():
-            data = write_part(code, docs, raw)
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + number], pa.int64()), pa.array(docs[:1], pa.int64()), pa.array([size // 4], pa.int64()), pa.array([data], pa.binary())], schema=schema)
+            data = write_part(code, docs, raw, kind)
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + number], pa.int64()), pa.array(docs[:1], pa.int64()), pa.array([size // width], pa.int64()), pa.array([data], pa.binary())], schema=schema)
 
         for batch in batches:
             for d, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -297,16 +332,18 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
     spark = docs.sparkSession
     scratch = Scratch(spark, "ids")
     d = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ids = scratch.save(d.mapInArrow(_encoded(vocabulary or vocabulary_path(), end_id), "doc_id long, n long, ids binary"), "ids")
+    path_ = vocabulary or vocabulary_path()
+    kind = Encoder(path_).kind
+    ids = scratch.save(d.mapInArrow(_encoded(path_, end_id), "doc_id long, n long, ids binary"), "ids")
     total = ids.agg(F.sum("n")).first()[0] or 0
-    counts = ids.select("ids").mapInArrow(_count_ids, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # as many rows as the vocabulary has ids
+    counts = ids.select("ids").mapInArrow(_count_ids(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # as many rows as the vocabulary has ids
     of = np.zeros(int(max(counts["id"].to_pylist(), default=0)) + 1, np.int64)
     of[counts["id"].to_numpy()] = counts["n"].to_numpy()
     lengths = code_lengths(of).astype(np.uint8).tobytes()
     code = spark.sparkContext.broadcast(lengths)
-    parts = max(1, round(total * 4 / (4 * PART_BYTES)))
+    parts = max(1, round(total / PART_BYTES))
     ordered = ids.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")).select("doc_id", "ids")
-    ordered.mapInArrow(_written(code), "part long, first long, n_ids long, data binary").write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(_written(code, kind), "part long, first long, n_ids long, data binary").write.option("compression", "none").parquet(path)
     return spark.read.parquet(path), lengths
 
 

@@ -54,7 +54,7 @@ def test_documents_come_back_from_the_files(spark):
     e = Encoder(vocabulary_path())
     want, start = [], 0
     for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
-        ids = e.whole(t or "") + np.array([2], "<u4").tobytes()
+        ids = np.frombuffer(e.whole(t or "") + np.array([2], e.kind).tobytes(), e.kind).astype("<u4").tobytes()
         want.append((d, start, len(ids) // 4, zlib.crc32(ids)))
         start += len(ids) // 4
     df = encode_documents(spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, start int"))
