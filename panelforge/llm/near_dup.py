@@ -23,6 +23,8 @@ from . import bytescan as B
 from .common import Scratch, only, table
 
 BANDS, ROWS = 32, 4
+#: Most ids that are broadcast to pick texts out of the table; more than these are joined by a shuffle of the texts.
+BROADCAST_IDS = 4_000_000
 
 
 @cache
@@ -99,7 +101,7 @@ def _confirm(edges: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     one, two = (sets.select(F.col("doc_id").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
     e = edges.join(one, "a").join(two, "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
-    return e.where(_similar(common, F.size("set_a"), F.size("set_b"), per_cent)).select("a", "b")
+    return e.where(_similar(common, F.size("set_a"), F.size("set_b"), per_cent)).select("a", "b").distinct()
 
 
 def components(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -133,7 +135,7 @@ def _rest(buckets: DataFrame, comp: DataFrame, size: DataFrame, sets_of, per_cen
     docs = scratch.save(b.join(mixed, "key").select("doc_id", "component", "n").distinct(), "mixed")
     if docs.isEmpty():
         return None
-    s = scratch.save(sets_of(docs.select("doc_id")), "sets")
+    s = scratch.save(sets_of(docs.select("doc_id")).dropDuplicates(["doc_id"]), "sets")
     t = s.select("doc_id", F.explode("set").alias("token"))
     of = docs.select("doc_id", "component")
     df = t.join(of, "doc_id").groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi"))
@@ -173,10 +175,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, bands:
     stars = scratch.save(buckets.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return d.join(ids.distinct(), "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, set array<long>").dropDuplicates(["doc_id"])
+        ids = scratch.save(ids.distinct(), "ids")
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        return d.join(ids, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, set array<long>")
 
     def linked(edges: DataFrame) -> DataFrame:
-        ends = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        ends = edges.select(F.explode(F.array("a", "b")).alias("doc_id"))
         return scratch.save(_confirm(edges, scratch.save(sets_of(ends), "sets"), per_cent), "linked")
 
     # an id with several texts links what they link
