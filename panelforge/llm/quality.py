@@ -1,8 +1,10 @@
-"""Quality rules: counts of each text, and the perplexity of its characters under a modified Kneser-Ney model of the whole corpus, with a lower and an upper bound for each language.
+"""Quality rules: counts of each text, and the perplexity of its characters under a modified Kneser-Ney model of all other texts, with a lower and an upper bound for each language.
 
-Bytes fall into 64 classes (letters without case, digits, white space, single marks, kinds of other bytes), so there can be no more than 64**ORDER n-grams: that bounds what the model holds, whatever the corpus. Spark counts the n-grams of all texts; each task sends every n-gram once. The driver turns the counts into probabilities and back-off weights in arrays sorted by the hash of the n-gram, which the scoring tasks get by broadcast.
+The model counts n-grams of whole characters, without folding, up to LENGTH of them, over the distinct texts of the corpus: copies of a text count once. Distinct texts are dealt into blocks of about BLOCK bytes by the hash of the text. Each block sends every n-gram once; Spark sums them to a table by n-gram (count as n-gram; total and kinds of what follows as context), which no process holds whole. A block gets the rows of its own n-grams back by a join, so what a task holds follows the block and not the corpus.
 
-A language's band is its median negative log-likelihood per symbol, less and more `below` and `above` times its median absolute deviation (at least FLOOR), over all documents that pass the base rules. Short texts scatter more, so deviations count sqrt(n / (n + SETTLED)) times for a text of n letters and spaces, and its band is wider in return. Medians come from counts of values rounded to 1/1000, so reruns agree.
+A text is scored with its own counts left out, on all orders: what occurs in it alone is unknown to the model that judges it.
+
+A language's band is centred on the median negative log-likelihood per character of its distinct texts that pass the base rules. Spread follows length: the median absolute deviation of each length class (powers of two), over all languages, times the language's own median of deviations so measured (at least LEAST_SCALE, so that near copies can't shrink it to nothing). The band ends where a normal spread leaves TAIL of the texts outside. Languages and length classes of fewer than FEW distinct texts take what all texts together give. No label enters. Medians are of values rounded to 1/1000, so reruns agree.
 
 Results in special cases: null and empty texts have zero counts, fail the base rules and are not kept; a null language is a language of its own; rows that repeat a doc_id each get their row; an empty table gives no rows.
 """
@@ -10,20 +12,25 @@ Results in special cases: null and empty texts have zero counts, fail the base r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import bytescan as B
 from .common import Scratch, only, table
 
 ORDER, BITS = 4, 6
 SYMBOLS = 1 << BITS
-#: Where the bounds stand, in median absolute deviations, the least deviation, and the length at which a text scatters half (in variance) by its shortness.
-BELOW, ABOVE, FLOOR, SETTLED = 6.5, 6.5, 0.005, 3000
+#: Characters of the longest n-gram; bytes of text in a block, and the least where there are cores without one; rows of one text from which the join to its rows is by broadcast.
+LENGTH, BLOCK, LEAST_BLOCK, MANY = 5, 16 << 20, 4 << 20, 1000
+#: Share of the texts outside the band were they spread normally; the least deviation; the least scale of a language; how few texts have no band of their own.
+TAIL, FLOOR, LEAST_SCALE, FEW = 1e-4, 0.005, 0.0, 1
+#: The band's half width in median absolute deviations.
+WIDTH = 6.5
 
 
 def _classes() -> np.ndarray:
@@ -55,33 +62,6 @@ def ngrams(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return code
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every n-gram of the partition once, with its count."""
-    codes, counts, waiting = [], [], 0
-
-    def merged():
-        c, n = np.concatenate(codes), np.concatenate(counts)
-        o = np.argsort(c, kind="stable")
-        c, n = c[o], n[o]
-        first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-        return c[first], np.add.reduceat(n, first)
-
-    for batch in batches:
-        for _, _, data, offs in B.texts(batch):
-            if len(data):
-                c, n = np.unique(ngrams(data, offs), return_counts=True)
-                codes.append(c)
-                counts.append(n)
-                waiting += len(c)
-                if waiting > 1 << 22:
-                    c, n = merged()
-                    codes, counts, waiting = [c], [n], 0
-    if codes:
-        c, n = merged()
-        for lo in range(0, len(c), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + (1 << 16)].astype(np.int32)), pa.array(n[lo : lo + (1 << 16)].astype(np.int64))], names=["code", "n"])
-
-
 def _sorted_by_hash(codes: np.ndarray, order: int, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     h = _hash(codes, order)
     o = np.argsort(h)
@@ -99,7 +79,9 @@ def _find(keys: np.ndarray, codes: np.ndarray, order: int) -> tuple[np.ndarray,
 
 
 class KneserNey:
-    """grams[k]: (hashes of the k-grams in order, their probability given the k - 1 before); backs[k]: (hashes of the contexts of k symbols, the weight of the shorter context)."""
+    """The plain form of the model, over classes of bytes and in one process; the formula is the same.
+
+    grams[k]: (hashes of the k-grams in order, their probability given the k - 1 before); backs[k]: (hashes of the contexts of k symbols, the weight of the shorter context)."""
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray):
         self.grams, self.backs = {}, {}
@@ -125,8 +107,12 @@ class KneserNey:
     @staticmethod
     def discounts(n: np.ndarray) -> np.ndarray:
         """Of counts 0, 1, 2, 3 and more, from the counts of counts; 0.5, 1, 1.5 where those are too few to tell."""
-        m = [0, *((n == i).sum() for i in (1, 2, 3, 4))]
-        if min(m[1:]) == 0:
+        return KneserNey.discounts_of([0, *((n == i).sum() for i in (1, 2, 3, 4))])
+
+    @staticmethod
+    def discounts_of(m) -> np.ndarray:
+        """The same from how many have count 1, 2, 3 and 4 (m[0] is not used)."""
+        if min(m[1:5]) == 0:
             return np.array([0, 0.5, 1.0, 1.5])
         y = m[1] / (m[1] + 2 * m[2])
         d = [i - (i + 1) * y * m[i + 1] / m[i] for i in (1, 2, 3)]
@@ -185,68 +171,288 @@ def measures(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _score(model):
-    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("h", pa.int64()), *((n, pa.int64()) for n in NAMES), ("nll", pa.float64())])
+_MULTIPLIERS = np.random.default_rng(9).integers(1, 1 << 63, LENGTH, dtype=np.uint64) * B.U64(2) + B.U64(1)
+_PAD = B.mix(np.zeros(1, B.U64))[0]
+#: Hashes of 0 .. LENGTH - 1 places before a text.
+PADS = [B.mix((_MULTIPLIERS[:k] * _PAD).sum(keepdims=True, dtype=B.U64) + B.U64(k))[0] for k in range(LENGTH)]
+FACTS = ["n", "total", "n1", "n2", "n3"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kn = model.value
-        known = np.zeros(SYMBOLS**ORDER, np.float32)
-        for batch in batches:
-            for lo, hi, data, offs in B.texts(batch):
-                code = ngrams(data, offs)
-                distinct = np.unique(code)
-                known[distinct] = kn.log_p(distinct)
-                p = np.zeros(len(code) + 1)
-                np.cumsum(known[code], dtype=np.float64, out=p[1:])
-                nll = (p[offs[:-1]] - p[offs[1:]]) / np.maximum(1, np.diff(offs))
-                m = measures(data, offs)
-                n = hi - lo
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, n).cast(t) for i, t in ((0, pa.int64()), (1, pa.string()), (2, pa.int64()))), *(pa.array(m[x].astype(np.int64)) for x in NAMES), pa.array(nll)], schema=schema)
 
-    return run
+def characters(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of the texts (their UTF-8 bytes as a number) and where each text begins among them."""
+    lead = (data & 0xC0) != 0x80
+    at = np.flatnonzero(lead)
+    size = np.diff(np.append(at, len(data)))
+    chars = data[at].astype(B.U64)
+    for j in range(1, 4):
+        i = np.flatnonzero(size > j)
+        chars[i] = chars[i] << B.U64(8) | data[at[i] + j]
+    return chars, np.searchsorted(at, offs)
 
 
-def train(docs: DataFrame) -> KneserNey:
-    counts = only(docs, "text").mapInArrow(_count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toArrow()
-    return KneserNey(counts["code"].to_numpy(), counts["n"].to_numpy())
+def hashes(chars: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
+    """[k - 1]: of each character, the hash of the k that end with it in its text."""
+    first = offs[:-1][np.diff(offs) > 0]
+    part, h, out = B.mix(chars + B.U64(1)), np.zeros(len(chars), B.U64), []
+    for k in range(1, LENGTH + 1):
+        h = h + part * _MULTIPLIERS[k - 1]
+        out.append(B.mix(h + B.U64(k)))
+        part = np.concatenate([part[:1], part[:-1]])
+        part[first] = _PAD
+    return out
 
 
-def _steady():
-    """How much a deviation counts in a text of this length."""
-    n = F.col("word_chars") + F.col("n_words")
-    return F.sqrt(n / (n + SETTLED))
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct key, in the order of the keys, and the number of its key for each place."""
+    o = np.argsort(keys)
+    new = np.ones(len(o), bool)
+    new[1:] = keys[o[1:]] != keys[o[:-1]]
+    which = np.empty(len(o), np.int64)
+    which[o] = np.cumsum(new) - 1
+    return o[new], which
+
+
+def _distinct(t: pa.Table) -> pa.RecordBatch:
+    """(h, text) of a block, each text once, in the order of h."""
+    t = pa.concat_tables([_EMPTY, *(pa.ipc.open_stream(_open(x)).read_all() for x in t["packed"].to_pylist())])
+    _, first = np.unique(t["h"].to_numpy(), return_index=True)
+    t = t.take(pa.array(first))
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in t.columns], names=["h", "text"])
+
+
+_EMPTY = pa.schema([("h", pa.int64()), ("text", pa.string())]).empty_table()
+_GRAMS = pa.schema([("block", pa.int32()), ("k", pa.int32()), *((n, pa.int64()) for n in ("h", "m", "end", "context"))])
+
+
+def _open(packed: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed)
+
+
+def _grams(key: tuple, t: pa.Table) -> pa.Table:
+    """The distinct n-grams of a block, of each order k, with the hashes of their ends and contexts (the last and the first k - 1 characters); those of LENGTH with their count."""
+    parts = [[] for _ in range(LENGTH)]
+    for _, _, data, offs in B.texts(_distinct(t), piece=1 << 19):
+        chars, coffs = characters(data, offs)
+        if not len(chars):
+            continue
+        hs = hashes(chars, coffs)
+        first = np.zeros(len(chars), bool)
+        first[coffs[:-1][np.diff(coffs) > 0]] = True
+        at = np.arange(len(chars))
+        for k in range(LENGTH, 0, -1):
+            i, which = _groups(hs[k - 1][at])
+            m = np.bincount(which)
+            at = at[i]
+            end = hs[k - 2][at] if k > 1 else np.full(len(at), PADS[0])
+            context = np.where(first[at], PADS[k - 1], hs[k - 2][at - 1]) if k > 1 else end
+            parts[k - 1].append(np.stack([hs[k - 1][at], m.astype(B.U64), end, context]))
+    out = []
+    for k, x in enumerate(parts, 1):
+        if x:
+            x = np.concatenate(x, axis=1)
+            i, which = _groups(x[0])
+            m = pa.array(np.bincount(which, x[1].astype(np.float64)).astype(np.int64)) if k == LENGTH else pa.nulls(len(i), pa.int64())
+            h, _, end, context = (pa.array(y[i].view(np.int64)) for y in x)
+            out.append(pa.Table.from_arrays([pa.array(np.full(len(i), y, np.int32)) for y in (key[0].as_py(), k)] + [h, m, end, context], schema=_GRAMS))
+    if out:  # what stands before a text
+        pads = pa.array(np.array(PADS, B.U64).view(np.int64))
+        out.append(pa.Table.from_arrays([pa.array(np.full(len(pads), y, np.int32)) for y in (key[0].as_py(), 0)] + [pads, *[pa.nulls(len(pads), pa.int64())] * 3], schema=_GRAMS))
+    return pa.concat_tables([_GRAMS.empty_table(), *out])
+
+
+class Known:
+    """The model's rows of a block's n-grams, and the likelihood of the block's texts, each by what the others hold."""
+
+    def __init__(self, h: np.ndarray, facts: np.ndarray, discounts: np.ndarray, n_chars: int):
+        o = np.argsort(h)
+        self.h, self.facts, self.discounts, self.base = h[o], np.ascontiguousarray(facts[:, o].T), discounts, 1 / (n_chars + 1)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """FACTS of each hash; zeros where it is not known."""
+        if not len(self.h):
+            return np.zeros((len(FACTS), len(h)))
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        out = self.facts[at]
+        out[self.h[at] != h] = 0
+        return out.T
+
+    def log_p(self, chars: np.ndarray, offs: np.ndarray, leave_out: bool = False) -> np.ndarray:
+        """Of each character given those before it in its text."""
+        if not len(chars):
+            return np.zeros(0)
+        hs, texts = hashes(chars, offs), len(offs) - 1
+        text = np.repeat(np.arange(texts), np.diff(offs))
+        low = B.U64((1 << 20) - 1)
+        # entries: distinct (n-gram, text) of each order; those of an order point to their ends in the order below
+        at, down, entry, found = [None] * LENGTH, [None] * LENGTH, [None] * LENGTH, [None] * LENGTH
+        for k in range(LENGTH, 0, -1):
+            here = at[k] if k < LENGTH else np.arange(len(chars))
+            i, which = _groups((hs[k - 1][here] & ~low) | text[here].astype(B.U64))
+            at[k - 1], down[k - 1] = here[i], which
+            entry[k - 1] = which if k == LENGTH else which[entry[k]]
+            found[k - 1] = self.find(hs[k - 1][here[i]])
+        lost = np.bincount(down[-1]).astype(float)  # what the text itself gives to each count
+        left = [None] * LENGTH
+        for k in range(LENGTH, 0, -1):
+            n = found[k - 1][0]
+            left[k - 1] = np.maximum(0, n - lost) if leave_out else n
+            if k > 1:
+                lost = np.bincount(down[k - 2], (n > 0) & (left[k - 1] == 0), len(at[k - 2]))
+        p = None
+        for k in range(1, LENGTH + 1):
+            n, rest, where = found[k - 1][0], left[k - 1], at[k - 1]
+            # contexts: entries of the order below that end one character before; at a text's first character, its own
+            starts = where == offs[text[where]]
+            if k == 1:
+                context, facts = text[where], np.repeat(self.find(np.array(PADS[:1], B.U64)), texts, axis=1)
+            else:
+                size = len(at[k - 2])
+                context = np.where(starts, size + text[where], entry[k - 2][np.maximum(where - 1, 0)])
+                facts = np.concatenate([found[k - 2], np.repeat(self.find(np.array(PADS[k - 1 : k], B.U64)), texts, axis=1)], axis=1)
+            size = facts.shape[1]
+            total = facts[1] - np.bincount(context, n - rest, size)
+            d = self.discounts[k - 1]
+            dn, dr = d[np.minimum(n, 3).astype(int)], d[np.minimum(rest, 3).astype(int)]
+            back = d[1] * facts[2] + d[2] * facts[3] + d[3] * facts[4] - np.bincount(context, dn - dr, size)
+            total, back = np.maximum(total, 0)[context], np.maximum(back, 0)[context]
+            lower = self.base if p is None else p[down[k - 2]]
+            some = total > 0.5
+            total = np.where(some, total, 1)
+            p = np.where(some, (rest - dr) / total + back / total * lower, lower)
+        return np.log(p)[entry[-1]]
+
+
+def _score(discounts: np.ndarray, n_chars: int):
+    schema = pa.schema([("h", pa.int64()), *((n, pa.int64()) for n in NAMES), ("n_chars", pa.int64()), ("nll", pa.float64())])
+
+    def run(_, t: pa.Table, rows: pa.Table) -> pa.Table:
+        known = Known(rows["h"].to_numpy().view(B.U64), np.stack([rows[c].to_numpy() for c in FACTS]).astype(np.float64), discounts, n_chars)
+        out, batch = [], _distinct(t)
+        for lo, hi, data, offs in B.texts(batch, piece=1 << 19):
+            chars, coffs = characters(data, offs)
+            n = np.diff(coffs)
+            nll = np.zeros(hi - lo)
+            if len(chars):
+                nll[n > 0] = -np.add.reduceat(known.log_p(chars, coffs), coffs[:-1][n > 0]) / n[n > 0]
+            m = measures(data, offs)
+            out.append(pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), *(pa.array(m[x].astype(np.int64)) for x in NAMES), pa.array(n.astype(np.int64)), pa.array(nll)], schema=schema))
+        return pa.Table.from_batches(out, schema)
 
+    return run
 
-def bands(scored: DataFrame) -> DataFrame:
-    """lang, mid, mad: median of nll and of its weighted absolute deviations."""
 
-    def median(values: DataFrame, name: str) -> DataFrame:
-        bins = values.groupBy("lang", F.round(F.col("v") * 1000).cast("long").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        w = Window.partitionBy("lang")
-        bins = bins.withColumn("u", F.sum("n").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w))
-        return bins.where("2 * u >= all").groupBy("lang").agg((F.min("v") / 1000).alias(name))
+def _pack(blocks: int):
+    """(h, text) to (block, packed): the texts of a block together and compressed. A task sends a text once, so that copies don't meet in one task."""
 
-    good = scored.where("not base_failed")
-    mid = median(good.select("lang", F.col("nll").alias("v")), "mid")
-    same = F.col("g.lang").eqNullSafe(F.col("m.lang"))
-    away = good.alias("g").join(F.broadcast(mid).alias("m"), same).select("g.lang", (F.abs(F.col("nll") - F.col("mid")) * _steady()).alias("v"))
-    return mid.alias("m").join(median(away, "mad").alias("g"), same).select("m.lang", "mid", F.greatest("mad", F.lit(FLOOR)).alias("mad"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, waiting, size = np.zeros(0, np.int64), [], 0
+        pack = zstandard.ZstdCompressor(level=3)
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(waiting)
+            block = t["h"].to_numpy() % blocks
+            o = np.argsort(block, kind="stable")
+            edges = np.flatnonzero(np.diff(block[o], prepend=-1, append=blocks))
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, t.schema) as w:
+                    w.write_table(t.take(pa.array(o[lo:hi])))
+                yield pa.RecordBatch.from_arrays([pa.array([block[o[lo]]], pa.int32()), pa.array([pack.compress(sink.getvalue().to_pybytes())], pa.binary())], names=["block", "packed"])
+
+        for batch in batches:
+            h, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+            new = ~np.isin(h, seen)
+            if not new.any():
+                continue
+            seen = np.union1d(seen, h[new])
+            waiting.append(batch.take(pa.array(np.sort(first[new]))).cast(_EMPTY.schema))
+            size += waiting[-1].nbytes
+            if size > 1 << 26:
+                yield from packed()
+                waiting, size = [], 0
+        if waiting:
+            yield from packed()
+
+    return run
 
 
-def judge(docs: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
-    """doc_id, lang, h (hash of the text), counts, base_failed, nll, lower, upper, kept."""
+def train(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndarray, int]:
+    """(block, h, FACTS: the model's rows of each block's n-grams; discounts of each order; distinct characters)."""
+    grams = scratch.save(texts.groupBy("block").applyInArrow(_grams, "block int, k int, h long, m long, end long, context long"), "grams")
+    facts, sizes, given = [], [], None
+    zeros = [F.lit(0).cast("long").alias(c) for c in FACTS]
+    of = lambda test: F.sum(F.when(test, 1).otherwise(0))
+    for k in range(LENGTH, 0, -1):
+        own = grams.where(F.col("k") == k).select("h", "m", "end", "context")
+        if given is not None:  # counts of the lower orders: in how many n-grams they are the end
+            own = own.union(given.groupBy(F.col("end").alias("h")).agg(F.count(F.lit(1)).alias("m"), F.lit(None).cast("long"), F.lit(None).cast("long")))
+        t = given = scratch.save(own.groupBy("h").agg(F.sum("m").alias("n"), F.max("end").alias("end"), F.max("context").alias("context")), "order")
+        facts.append(t.select("h", "n", *zeros[1:]))
+        facts.append(t.groupBy(F.col("context").alias("h")).agg(zeros[0], F.sum("n").alias("total"), of(F.col("n") == 1).alias("n1"), of(F.col("n") == 2).alias("n2"), of(F.col("n") > 2).alias("n3")).select("h", *FACTS))
+        sizes.append(t.groupBy(F.lit(k).alias("k"), F.least("n", F.lit(5)).alias("n")).agg(F.count(F.lit(1)).alias("c")))
+    model = reduce(DataFrame.union, facts).groupBy("h").agg(*(F.sum(c).alias(c) for c in FACTS))
+    of_counts = np.zeros((LENGTH, 6))
+    for k, n, c in reduce(DataFrame.union, sizes).collect():
+        of_counts[k - 1, n] = c
+    discounts = np.stack([KneserNey.discounts_of(m) for m in of_counts])
+    return grams.select("block", "h").join(model, "h").select("block", "h", *FACTS), discounts, int(of_counts[0].sum())
+
+
+def bands(good: DataFrame) -> DataFrame:
+    """pool, lang, class, mid, half (the band's half width) from lang, n_chars, nll of distinct texts that pass the base rules. pool: of all texts together; a null class: of any length."""
+    median = lambda c: F.median(F.round(c, 3))
+    good = good.select("lang", "nll", length_class().alias("class"))
+    rows = good.withColumn("pool", F.lit(False)).union(good.withColumn("lang", F.lit(None).cast("string")).withColumn("pool", F.lit(True)))
+    mid = rows.groupBy("pool", "lang").agg(F.count(F.lit(1)).alias("c"), median("nll").alias("mid")).where(F.col("pool") | (F.col("c") >= FEW)).drop("c")
+    same = (F.col("r.pool") == F.col("m.pool")) & F.col("r.lang").eqNullSafe(F.col("m.lang"))
+    away = rows.alias("r").join(F.broadcast(mid).alias("m"), same).select("r.pool", "r.lang", "class", "mid", F.abs(F.col("nll") - F.col("mid")).alias("dev"))
+    spread = away.cube("pool", "class").agg(F.count(F.lit(1)).alias("c"), F.greatest(median("dev"), F.lit(FLOOR)).alias("spread")).where("pool is not null").where(F.col("class").isNull() | (F.col("c") >= FEW)).drop("c")
+    known = spread.where("class is not null")
+    whole = spread.where("class is null").select(F.col("pool").alias("p"), F.col("spread").alias("whole"))
+    z = away.join(F.broadcast(known), ["pool", "class"], "left").join(F.broadcast(whole), F.col("pool") == F.col("p"))
+    scale = z.groupBy("pool", "lang").agg(F.first("mid").alias("mid"), F.greatest(median(F.col("dev") / F.coalesce("spread", "whole")), F.lit(LEAST_SCALE)).alias("scale"))
+    return scale.join(spread, "pool").select("pool", "lang", "class", "mid", (F.lit(WIDTH) * F.col("scale") * F.col("spread")).alias("half"))
+
+
+def length_class():
+    return F.floor(F.log2(F.greatest("n_chars", F.lit(1)))).cast("int")
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, h (hash of the text), counts, nll, base_failed, lower, upper, kept."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
-    model = spark.sparkContext.broadcast(train(docs))
-    d = only(docs, "doc_id", "lang", "text").select("doc_id", "lang", F.xxhash64("text").alias("h"), "text")
-    schema = "doc_id long, lang string, h long, " + ", ".join(f"{n} long" for n in NAMES) + ", nll double"
+    d = only(docs, "doc_id", "lang", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("h"), "text")
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK), min(spark.sparkContext.defaultParallelism, -(-size // LEAST_BLOCK)))
+    texts = d.where("text is not null").select("h", "text").mapInArrow(_pack(blocks), "block int, packed binary")
+    model, discounts, n_chars = train(texts, scratch)
+    schema = "h long, " + ", ".join(f"{n} long" for n in NAMES) + ", n_chars long, nll double"
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    scored = scratch.save(d.mapInArrow(_score(model), schema).withColumn("base_failed", failed), "scored")
-    b = scratch.save(bands(scored), "bands")
-    out = scored.alias("s").join(F.broadcast(b).alias("b"), F.col("s.lang").eqNullSafe(F.col("b.lang")), "left")
-    fits = F.coalesce(F.abs(F.col("nll") - F.col("mid")) * _steady() <= F.col("mad") * F.when(F.col("nll") < F.col("mid"), below).otherwise(above), F.lit(False))
-    out = out.withColumn("lower", F.col("mid") - F.col("mad") * below / _steady()).withColumn("upper", F.col("mid") + F.col("mad") * above / _steady())
-    return out.select("s.*", "lower", "upper", (~F.col("base_failed") & fits).alias("kept"))
+    scored = scratch.save(texts.groupBy("block").cogroup(model.groupBy("block")).applyInArrow(_score(discounts, n_chars), schema).withColumn("base_failed", failed), "scored")
+    # each text once for each of its languages
+    pairs = scratch.save(d.where("text is not null").groupBy("h", "lang").agg(F.count(F.lit(1)).alias("n_rows")).join(scored, "h"), "pairs")
+    b = scratch.save(bands(d.where("text is not null").select("h", "lang").join(scored, "h").where("not base_failed")), "bands")
+    own = lambda x, y: b.where(x).where(f"class is {y} null").select(*(F.col(c).alias(f"_{c}") for c in ("lang", "class", "mid", "half")))
+    v = pairs.withColumn("class", length_class())
+    lang = F.col("lang").eqNullSafe(F.col("_lang"))
+    for i, (pool, null) in enumerate([("not pool", "not"), ("not pool", ""), ("pool", "not"), ("pool", "")]):
+        on = ([lang] if pool != "pool" else []) + ([F.col("class") == F.col("_class")] if null else [])
+        t = F.broadcast(own(pool, null))
+        v = (v.join(t, reduce(lambda x, y: x & y, on), "left") if on else v.join(t, F.lit(True), "left")).withColumn(f"b{i}", F.when(F.col("_mid").isNotNull(), F.struct(F.col("_mid").alias("mid"), F.col("_half").alias("half")))).drop("_lang", "_class", "_mid", "_half")
+    v = v.withColumn("b", F.coalesce("b0", "b1", "b2", "b3")).withColumn("lower", F.col("b.mid") - F.col("b.half")).withColumn("upper", F.col("b.mid") + F.col("b.half"))
+    fits = F.coalesce(F.col("nll").between(F.col("lower"), F.col("upper")), F.lit(False))
+    v = scratch.save(v.select("h", "lang", "n_rows", *NAMES, "nll", "base_failed", "lower", "upper", (~F.col("base_failed") & fits).alias("kept")), "verdicts")
+    # rows of texts with very many copies meet their verdict by broadcast: there are few such texts
+    many = F.broadcast(v.where(F.col("n_rows") >= MANY))
+    on = lambda t: (F.col("d.h") == F.col(f"{t}.h")) & F.col("d.lang").eqNullSafe(F.col(f"{t}.lang"))
+    values = [*NAMES, "nll", "base_failed", "lower", "upper", "kept"]
+    rows = d.select("doc_id", "lang", "h", F.col("text").isNull().alias("none")).alias("d")
+    common = rows.join(many.alias("m"), on("m")).select("d.doc_id", "d.lang", "d.h", *(f"m.{c}" for c in values))
+    rare = rows.join(many.select("h", "lang").alias("m"), on("m"), "left_anti").where("not none").alias("d").join(v.where(F.col("n_rows") < MANY).alias("v"), on("v")).select("d.doc_id", "d.lang", "d.h", *(f"v.{c}" for c in values))
+    null = {**{n: F.lit(0).cast("long") for n in NAMES}, "nll": F.lit(0.0), "base_failed": F.lit(True), "lower": F.lit(None).cast("double"), "upper": F.lit(None).cast("double"), "kept": F.lit(False)}
+    none = rows.where("none").select("doc_id", "lang", "h", *(null[c].alias(c) for c in values))
+    return common.union(rare).union(none)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

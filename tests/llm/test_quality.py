@@ -60,3 +60,46 @@ def test_verdicts_keep_clean_text_and_drop_noise(spark):
 
 def test_empty_table(spark):
     assert Q.judge(spark.createDataFrame([], "doc_id long, text string, lang string")).collect() == []
+
+
+def plain_nll(texts, leave_out=True):
+    """Of each text: the formula over dictionaries of whole characters, one text left out at a time."""
+    pad, top = "\0", Q.LENGTH
+    grams = [Counter((pad * (top - 1) + t)[i : i + top] for i in range(len(t))) for t in texts]
+
+    def orders(counters):
+        n = {top: sum(counters, Counter())}
+        for k in range(top - 1, 0, -1):
+            n[k] = Counter(g[1:] for g in n[k + 1])
+        return n
+
+    everything = orders(grams)
+    d = {k: Q.KneserNey.discounts(np.array(list(n.values()))) for k, n in everything.items()}
+    base = 1 / (len(everything[1]) + 1)
+    out = []
+    for i, t in enumerate(texts):
+        n = orders([g for j, g in enumerate(grams) if j != i or not leave_out])
+
+        def p(g, n=n):
+            k = len(g)
+            if not k:
+                return base
+            same = [x for y, x in n[k].items() if y[:-1] == g[:-1]]
+            if not same:
+                return p(g[1:])
+            c = n[k][g]
+            return (c - d[k][min(3, c)] + sum(d[k][min(3, x)] for x in same) * p(g[1:])) / sum(same)
+
+        out.append(-sum(math.log(p((pad * (top - 1) + t)[j : j + top])) for j in range(len(t))) / len(t))
+    return out
+
+
+def test_likelihood_of_whole_characters_equals_the_formula(spark, monkeypatch):
+    monkeypatch.setattr(Q, "BLOCK", 300)  # several blocks
+    rng = np.random.default_rng(2)
+    words = ["Дом", "дом", "The", "the", "日本", "語", "née", "cat", "😀"]
+    texts = [" ".join(rng.choice(words, 25)) for _ in range(12)] + ["Zq"]
+    rows = [(i, t, "xx") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.nll for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for i, want in enumerate(plain_nll(texts, False)):
+        assert abs(got[i] - want) < 1e-9
