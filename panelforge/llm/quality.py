@@ -28,7 +28,7 @@ SYMBOLS = 1 << BITS
 #: Characters of the longest n-gram; bytes of text in a block, and the least where there are cores without one; rows of one text from which the join to its rows is by broadcast.
 LENGTH, BLOCK, LEAST_BLOCK, MANY = 5, 16 << 20, 4 << 20, 1000
 #: Share of the texts outside the band were they spread normally; the least deviation; the least scale of a language; how few texts have no band of their own.
-TAIL, FLOOR, LEAST_SCALE, FEW = 1e-4, 0.005, 0.0, 1
+TAIL, FLOOR, LEAST_SCALE, FEW = 1e-4, 0.005, 0.5, 50
 #: The band's half width in median absolute deviations.
 WIDTH = 6.5
 
@@ -432,7 +432,7 @@ def judge(docs: DataFrame) -> DataFrame:
     scored = scratch.save(texts.groupBy("block").cogroup(model.groupBy("block")).applyInArrow(_score(discounts, n_chars), schema).withColumn("base_failed", failed), "scored")
     # each text once for each of its languages
     pairs = scratch.save(d.where("text is not null").groupBy("h", "lang").agg(F.count(F.lit(1)).alias("n_rows")).join(scored, "h"), "pairs")
-    b = scratch.save(bands(d.where("text is not null").select("h", "lang").join(scored, "h").where("not base_failed")), "bands")
+    b = scratch.save(bands(pairs.where("not base_failed")), "bands")
     own = lambda x, y: b.where(x).where(f"class is {y} null").select(*(F.col(c).alias(f"_{c}") for c in ("lang", "class", "mid", "half")))
     v = pairs.withColumn("class", length_class())
     lang = F.col("lang").eqNullSafe(F.col("_lang"))

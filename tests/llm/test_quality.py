@@ -103,3 +103,21 @@ def test_likelihood_of_whole_characters_equals_the_formula(spark, monkeypatch):
     got = {r.doc_id: r.nll for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     for i, want in enumerate(plain_nll(texts, False)):
         assert abs(got[i] - want) < 1e-9
+
+
+def clean_texts(rng, n):
+    vocabulary = ["".join(rng.choice(list("aeiou" if j % 2 else "bcdfgst")) for j in range(rng.integers(2, 8))) for _ in range(400)]
+    return [" ".join(rng.choice(vocabulary, 150)) for _ in range(n)]
+
+
+def noise(rng):
+    return " ".join("".join(rng.choice(list("#%&@!xzqjw9|"), 6)) for _ in range(150))
+
+
+def test_copies_move_no_band_and_lone_junk_has_none(spark):
+    rng = np.random.default_rng(3)
+    clean = clean_texts(rng, 200)
+    rows = [(i, t, "xx") for i, t in enumerate(clean)] + [(1000 + i, clean[0], "yy" if i % 2 else "xx") for i in range(300)]
+    rows += [(2000, noise(rng), None), (2001, noise(rng), "zz")]
+    kept = {r.doc_id for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect() if r.kept}
+    assert kept == {i for i, _, _ in rows if i < 2000}
