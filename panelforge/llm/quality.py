@@ -276,7 +276,7 @@ class Known:
         out[self.h[at] != h] = 0
         return out.T
 
-    def log_p(self, chars: np.ndarray, offs: np.ndarray, leave_out: bool = False) -> np.ndarray:
+    def log_p(self, chars: np.ndarray, offs: np.ndarray, leave_out: bool = True) -> np.ndarray:
         """Of each character given those before it in its text."""
         if not len(chars):
             return np.zeros(0)

@@ -101,7 +101,7 @@ def test_likelihood_of_whole_characters_equals_the_formula(spark, monkeypatch):
     texts = [" ".join(rng.choice(words, 25)) for _ in range(12)] + ["Zq"]
     rows = [(i, t, "xx") for i, t in enumerate(texts)]
     got = {r.doc_id: r.nll for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
-    for i, want in enumerate(plain_nll(texts, False)):
+    for i, want in enumerate(plain_nll(texts, True)):
         assert abs(got[i] - want) < 1e-9
 
 
@@ -121,3 +121,13 @@ def test_copies_move_no_band_and_lone_junk_has_none(spark):
     rows += [(2000, noise(rng), None), (2001, noise(rng), "zz")]
     kept = {r.doc_id for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect() if r.kept}
     assert kept == {i for i, _, _ in rows if i < 2000}
+
+
+def test_copies_of_junk_do_not_vouch_for_it(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, t, "xx") for i, t in enumerate(clean_texts(rng, 200))]
+    for i, copies in enumerate((1, 20, 200)):
+        text = noise(np.random.default_rng(10 + i)).translate(str.maketrans("#%&@!xzqjw9|", "".join(chr(0x3B1 + 12 * i + j) for j in range(12))))
+        rows += [(1000 * (i + 1) + j, text, "xx") for j in range(copies)]
+    kept = {r.doc_id for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect() if r.kept}
+    assert kept == set(range(200))
