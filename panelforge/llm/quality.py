@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ LENGTH, BLOCK, LEAST_BLOCK, MANY = 5, 16 << 20, 4 << 20, 1000
 #: Share of the texts outside the band were they spread normally; the least deviation; the least scale of a language; how few texts have no band of their own.
 TAIL, FLOOR, LEAST_SCALE, FEW = 1e-4, 0.005, 0.5, 50
 #: The band's half width in median absolute deviations.
-WIDTH = 6.5
+WIDTH = NormalDist().inv_cdf(1 - TAIL / 2) / NormalDist().inv_cdf(0.75)
 
 
 def _classes() -> np.ndarray:

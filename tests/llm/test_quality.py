@@ -1,6 +1,7 @@
 import math
 import re
 from collections import Counter
+from statistics import NormalDist
 
 import numpy as np
 
@@ -131,3 +132,14 @@ def test_copies_of_junk_do_not_vouch_for_it(spark):
         rows += [(1000 * (i + 1) + j, text, "xx") for j in range(copies)]
     kept = {r.doc_id for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect() if r.kept}
     assert kept == set(range(200))
+
+
+def test_band_follows_the_tail_rule(spark):
+    rng = np.random.default_rng(5)
+    rows = [("ab"[i % 2], 300, float(x)) for i, x in enumerate(rng.normal(1.5, 0.1, 4000))] + [("c", 300, 1.5)]
+    got = {(r["pool"], r["lang"]): r for r in Q.bands(spark.createDataFrame(rows, "lang string, n_chars long, nll double")).collect() if r["class"] == 8}
+    assert set(got) == {(False, "a"), (False, "b"), (True, None)}
+    for r in got.values():
+        assert abs(r["mid"] - 1.5) < 0.01
+        outside = 2 - 2 * NormalDist(0, 0.1).cdf(r["half"])
+        assert Q.TAIL / 3 < outside < Q.TAIL * 3
