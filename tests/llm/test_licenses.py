@@ -27,3 +27,15 @@ def test_special_cases(spark):
     got = L.scan_documents(spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, found int")).collect()
     assert sorted((str(r.doc_id), [x.license for x in r.found]) for r in got) == [("1", []), ("2", []), ("3", ["all-rights-reserved"]), ("3", ["all-rights-reserved"] * 2), ("None", ["mit-name"])]
     assert L.scan_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_wrapped_headers_and_names_in_mid_sentence():
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */"
+    assert names(mpl) == ["mpl-2.0"]
+    assert names("Licensed under the MIT License") == ["mit-name"]
+    assert names("As said above, the code is available under the Apache License 2.0 for all.") == ["apache-2.0-title"]
+    assert names("// SPDX-License-Identifier: MIT") == ["mit"]
+    assert names("It comes under the GNU Lesser General Public License, version 2.1, as a whole.") == ["lgpl-2.1-title"]
+    assert names("You have the GNU Affero General Public License version 3 here.") == ["agpl-3.0-title"]
+    assert names("We chose the Eclipse Public License 2.0 for it.") == ["epl-2.0-title"]
+    assert names("He has not read the Apache License 2.0 yet.") == []
