@@ -360,7 +360,7 @@ def cluster_merges(spark, sf):
 
 def _rolling(spark, sf, **more):
     y = panels(spark, sf)[1]
-    dates = y.select("panel", F.col("t").alias("as_of")).distinct().where("as_of % 3 = 2 and as_of >= 23964")
+    dates = y.select("panel", F.col("t").alias("as_of")).distinct()
     return T.rolling_clusters(T.correlations_at(y, dates, 36), **more)
 
 
