@@ -1,12 +1,13 @@
 """Substring dedup by content-defined chunks.
 
-A gear hash rolls over the last WINDOW bytes of a text; where MASK's bits of it are 0 a chunk ends, if it has at least LEAST bytes, and at MOST bytes at the latest. Ends follow the content, so an insertion moves those near it and no others. Chunks with one digest (128 bits) are copies; the one in the smallest doc_id, at its first place, stays. Only runs of copied chunks of RUN bytes or more in a text count, since short phrases meet by chance.
+A gear hash rolls over the last WINDOW bytes of a text; where MASK's bits of it are 0 a chunk ends, if it has at least LEAST bytes, and at MOST bytes at the latest. Ends follow the content, so an insertion moves those near it and no others. Chunks with one digest (BLAKE2b, 128 bits) are copies; the one in the smallest doc_id, at its first place, stays. Only runs of copied chunks of RUN bytes or more in a text count, since short phrases meet by chance. A shared passage loses at most what lies before its first and after its last common cut, so chunks are short beside a passage of 50 words.
 
 Results in special cases: null and empty texts have no chunks; a text without a run loses nothing; rows that repeat a doc_id with one text are one text and each get its row; a null doc_id comes before all others; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from . import bytescan as B
 from .common import Scratch, only, table
 
-WINDOW, MASK, LEAST, MOST, RUN = 32, 0x1F << 26, 16, 192, 128
+WINDOW, MASK, LEAST, MOST, RUN = 32, 0xF << 27, 16, 128, 96
 
 
 def ends_in(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -61,25 +62,31 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, ends = chunks(data, offs)
             if not len(starts):
                 continue
+            raw = memoryview(np.ascontiguousarray(data))
+            digest = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
             text = np.searchsorted(offs, starts, "right") - 1
-            d1, d2 = B.Hasher(data).ranges(starts, ends), B.Hasher(data, 11).ranges(starts, ends)
             place = (starts - offs[text]) << 8 | (ends - starts)
             rows = pa.array(text + lo)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], names=["doc_id", "key", "place", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place), pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(starts), [None, pa.py_buffer(digest)]).cast(pa.binary())], names=["doc_id", "key", "place", "digest"])
+    B.give_back()
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_copied (bytes in runs that stand elsewhere too), n_removed (those of them that do not stay), repeats, removed (start and end of each, in turn) of all rows."""
+    """doc_id, n_bytes, n_copied (bytes in runs that stand elsewhere too), n_removed (those of them that do not stay), repeats, removed (start and end of each, in turn) of all rows.
+
+    Chunks are written once. Of those with one digest a sum finds the first and the last; a digest in one place only is done with. The first place of the others comes back to the chunks by a join that Spark can split where a digest is very common.
+    """
     scratch = Scratch(docs.sparkSession, "chunks")
-    d = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), "text")
-    rows = d.where("text is not null").mapInArrow(_chunks, "doc_id long, key long, place long, d1 long, d2 long")
-    # the order of copies: doc_id and place as one number, nulls first
-    order = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("decimal(19,0)").cast("decimal(38,0)") * F.lit(1 << 40).cast("decimal(13,0)") + F.col("place").cast("decimal(19,0)")
-    order = order.cast("decimal(38,0)")
-    copies = rows.groupBy("d1", "d2").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first < last").drop("last")
-    hit = rows.join(copies, ["d1", "d2"]).select("key", F.shiftright("place", 8).cast("int").alias("a"), F.col("place").bitwiseAND(255).cast("int").alias("n"), (order > F.col("first")).alias("later"))
-    hit = scratch.save(hit.distinct(), "copies")
-    runs = scratch.save(hit.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("a", "n", "later"))).alias("c")).mapInArrow(_runs, "key long, n_copied long, n_removed long, removed array<int>"), "runs")
+    d = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").cast("binary"), 256).alias("hex"), "text")
+    d = d.select("doc_id", F.substring(F.unhex("hex"), 1, 16).alias("key"), "text")
+    rows = scratch.save(d.where("text is not null").mapInArrow(_chunks, "doc_id long, key binary, place long, digest binary"), "chunks")
+    # the order of copies: nulls first, then doc_id and place
+    order = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("doc_id"), F.col("place"))
+    copies = scratch.save(rows.groupBy("digest").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first < last").drop("last"), "first")
+    scratch.forget_shuffles()
+    hit = scratch.save(rows.join(copies, "digest").select("key", F.shiftright("place", 8).cast("int").alias("a"), F.col("place").bitwiseAND(255).cast("int").alias("n"), (order > F.col("first")).alias("later")), "copies")
+    scratch.forget_shuffles()
+    runs = scratch.save(hit.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("a", "n", "later"))).alias("c")).mapInArrow(_runs, "key binary, n_copied long, n_removed long, removed array<int>"), "runs")
     n = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     out = d.select("doc_id", "key", n.alias("n_bytes")).join(runs, "key", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
@@ -88,7 +95,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks of a text that have copies to runs of at least RUN bytes."""
-    schema = pa.schema([("key", pa.int64()), ("n_copied", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(pa.int32()))])
+    schema = pa.schema([("key", pa.binary()), ("n_copied", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(pa.int32()))])
     for batch in batches:
         out = []
         for key, cs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

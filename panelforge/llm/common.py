@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import re
 import tempfile
 import uuid
 
@@ -19,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where none is set, as in tests."""
+    """The folder of spark.checkpoint.dir. A folder of our own only where none is set and driver and executors are one process, which need no shared store; elsewhere it is an error."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="panelforge-")
         sc.setCheckpointDir(at)
     return at.rstrip("/")
@@ -43,9 +47,14 @@ class Scratch:
         return f"{self.at}/{self.n:03d}-{name}"
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
-        at = self.path(name)
+        at, schema = self.path(name), df.schema
         df.write.option("compression", "zstd").parquet(at)
-        return self.spark.read.schema(df.schema).parquet(at)
+        return self.spark.read.schema(schema).parquet(at)
+
+    def forget_shuffles(self) -> None:
+        """Have Spark delete the shuffle files that no frame can read any more; it does so when the driver collects its garbage, which may else be long after."""
+        gc.collect()
+        self.spark._jvm.System.gc()
 
     def drop(self) -> None:
         try:
@@ -61,6 +70,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def text_key(text: Column) -> Column:
+    """SHA-256 of a text, 32 bytes: texts with one key are the same text. Null for null."""
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
 def only(df: DataFrame, *cols: str) -> DataFrame:
     """These columns alone, so that further ones with clashing names can't matter."""
     return df.select(*(F.col(f"`{c}`") for c in cols))

@@ -1,12 +1,14 @@
 """Removal of byte strings that occur again, by suffix sorting of the places where that can be.
 
-A string of LENGTH bytes that occurs twice has in both places the same smallest K-gram (by hash, the leftmost of equals): its anchor. Windows of one text with one anchor are neighbours and make a section. So (1) equal texts become one row with a count; (2) every text gives its sections: hash of the anchor, digest of the section, place; (3) sections whose anchor occurs nowhere else are done with; a section that occurs again as a whole is repeated as a whole; (4) of the others, one copy of each distinct section goes to the task of its anchor, where the suffixes at all its windows are sorted, and windows that equal a neighbour in LENGTH bytes are repeated; (5) bytes under a repeated window are removed.
+A string of LENGTH bytes that occurs twice has in both places the same smallest K-gram (by hash, the leftmost of equals): its anchor. Windows of one text with one anchor are neighbours and make a section. So (1) equal texts become one row with a count; (2) every text gives its sections: hash of the anchor, digest of the section's bytes, place; (3) sections whose anchor occurs nowhere else are done with; a section that occurs again as a whole is repeated as a whole; (4) of the others, one copy of each distinct section goes to the task of its anchor, where the suffixes at all its windows are sorted, and windows that equal a neighbour in LENGTH bytes are repeated; (5) bytes under a repeated window are removed.
 
-The sort is deep-shallow: multikey quicksort by eight bytes at a time to SHALLOW bytes, then a blind trie for each group that is still together. All windows of all texts take part; hashes choose what to compare and the sort compares the bytes.
+The sort is deep-shallow: multikey quicksort by eight bytes at a time to SHALLOW bytes, then a blind trie for each group that is still together. All windows of all texts take part. Anchors choose what to compare and nothing else. Whole texts are equal by SHA-256, whole sections by BLAKE2b of 128 bits, all else by the sort.
+
+A sort can't be split, so an anchor with more than HEAVY distinct sections (the edges of a passage that very many documents share) goes another way that can: its windows are counted by their BLAKE2b digests, summed in each task before they are sent.
 
 The texts are written once as a table in buckets by their key, so the later steps that need bytes read them without a shuffle.
 
-Results in special cases: null text is empty; a text shorter than LENGTH loses nothing; equal texts of LENGTH bytes or more lose everything; rows that repeat a doc_id count as texts of their own; an empty table gives no rows.
+Results in special cases: null text is empty; a text shorter than LENGTH loses nothing; equal texts of LENGTH bytes or more lose everything; rows that repeat a doc_id count as texts of their own; ids may be null; columns beyond doc_id and text are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,29 +24,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytescan as B
-from .common import Scratch, only, table
+from .common import Scratch, only, table, text_key
 
 LENGTH, K, SHALLOW = 200, 48, 32
+#: Distinct sections of one anchor that one task sorts.
+HEAVY = 1000
 #: Bytes of sections that are sorted at a time, whole groups each.
 POOL = 4 << 20
 
 
-def sections(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
-    """(first window, windows, hash of the anchor, digest of all bytes) of each section of the texts."""
-    n = len(data) - length + 1
-    if n <= 0:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, B.U64),) * 2
-    hasher = B.Hasher(data)
-    h = hasher.windows(k)
-    mask = B.U64((1 << len(data).bit_length()) - 1)
-    least = (h & ~mask) | np.arange(len(h), dtype=B.U64)
-    span, wide = 1, length - k + 1
+def leftmost_least(h: np.ndarray, wide: int) -> np.ndarray:
+    """For each run of `wide` numbers the place of its smallest, the leftmost of equals."""
+    least, at, span = h, np.arange(len(h), dtype=np.int32 if len(h) < 1 << 31 else np.int64), 1
+
+    def lesser(step: int) -> tuple[np.ndarray, np.ndarray]:
+        right = least[step:] < least[:-step]
+        return np.where(right, least[step:], least[:-step]), np.where(right, at[step:], at[:-step])
+
     while 2 * span <= wide:
-        least = np.minimum(least[:-span], least[span:])
+        least, at = lesser(span)
         span *= 2
     if wide > span:
-        least = np.minimum(least[: -(wide - span)], least[wide - span :])
-    at = (least & mask).astype(np.int64)
+        least, at = lesser(wide - span)
+    return at
+
+
+def sections(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
+    """(first window, windows, hash of the anchor, digest of all bytes) of each section of the texts; they depend on the text alone, and not on what is read with it."""
+    n = len(data) - length + 1
+    if n <= 0:
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, B.U64), [])
+    h = B.Rolling(data).windows(k)
+    at = leftmost_least(h, length - k + 1)
     edge = np.zeros(len(data) + 2, np.int64)
     long = np.diff(offs) >= length
     np.add.at(edge, offs[:-1][long], 1)
@@ -57,7 +68,12 @@ def sections(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, k: int =
     text = np.searchsorted(offs, starts, "right") - 1
     ends = offs[text + 1] - length + 1
     ends[:-1] = np.minimum(ends[:-1], starts[1:])
-    return starts, ends - starts, h[at[starts]], hasher.ranges(starts, ends - 1 + length)
+    raw = memoryview(np.ascontiguousarray(data))
+    return starts, ends - starts, h[at[starts]], [_digest(raw[a:b]) for a, b in zip(starts.tolist(), (ends - 1 + length).tolist(), strict=True)]
+
+
+def _digest(raw) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16).digest()
 
 
 def _eights(pool: np.ndarray) -> np.ndarray:
@@ -141,22 +157,35 @@ def repeated(pool: np.ndarray, starts: np.ndarray, length: int = LENGTH, shallow
 
 
 def _sections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, text) to (key, anchor, digest, start, n)."""
     for batch in batches:
-        for lo, hi, data, offs in B.texts(batch):
+        for lo, _, data, offs in B.texts(batch):
             start, n, anchor, digest = sections(data, offs)
             if len(start):
                 text = np.searchsorted(offs, start, "right") - 1
-                rows = pa.array(text + lo)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), pa.array((start - offs[text]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["k1", "k2", "anchor", "digest", "start", "n"],
+                    [batch.column(0).take(pa.array(text + lo)), pa.array(anchor.view(np.int64)), pa.array(digest, pa.binary()), pa.array((start - offs[text]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                    names=["key", "anchor", "digest", "start", "n"],
                 )
+    B.give_back()
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, digest, bytes) to a row (anchor, digest, at, w) for each window: its place and its own digest."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            some = batch.slice(lo, 256)
+            raw = [memoryview(x) for x in some.column(2).to_pylist()]
+            n = [len(x) - LENGTH + 1 for x in raw]
+            rows = pa.array(np.repeat(np.arange(len(raw)), n))
+            at = np.concatenate([np.arange(x) for x in n]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([some.column(0).take(rows), some.column(1).take(rows), pa.array(at), pa.array([_digest(x[i : i + LENGTH]) for x, m in zip(raw, n, strict=True) for i in range(m)], pa.binary())], names=["anchor", "digest", "at", "w"])
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (anchor, digest, bytes) in order of anchor to (anchor, digest, ranges of repeated windows)."""
     names = ["anchor", "digest", "ranges"]
-    kept: list[tuple[int, int, bytes]] = []
+    kept: list[tuple[int, bytes, bytes]] = []
     size = 0
 
     def sort(rows):
@@ -173,7 +202,7 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if f.any():
                 step = np.diff(np.concatenate([[0], f.view(np.int8), [0]]))
                 out.append((r[0], r[1], np.stack([np.flatnonzero(step == 1), np.flatnonzero(step == -1)], 1).ravel().tolist()))
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32())))], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.list_(pa.int32())))], names=names)
 
     for batch in batches:
         for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -187,11 +216,11 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k1, k2, text, copies, spans) to what is left of each text. spans: first window and the window after the last, in turn."""
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.int32()))])
+    """(key, text, copies, spans) to what is left of each text. spans: first window and the window after the last, in turn."""
+    schema = pa.schema([("key", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.int32()))])
     for batch in batches:
         rows = []
-        for k1, k2, text, copies, spans in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+        for key, text, copies, spans in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             b = text if isinstance(text, bytes) else text.encode()
             gone: list[int] = []
             if copies > 1 and len(b) >= LENGTH:
@@ -204,18 +233,19 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         gone += s
             edges = [0, *gone, len(b)]
             left = hashlib.sha256(b"".join(b[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)))
-            rows.append((k1, k2, len(b), sum(gone[1::2]) - sum(gone[::2]), len(gone) // 2, left.hexdigest(), gone))
+            rows.append((key, len(b), sum(gone[1::2]) - sum(gone[::2]), len(gone) // 2, left.hexdigest(), gone))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    B.give_back()
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """(k1, k2, text, copies): each distinct text once, in buckets by (k1, k2)."""
+    """(key, text, copies): each distinct text once, in buckets by its key."""
     spark = docs.sparkSession
     name = f"texts_{uuid.uuid4().hex}"
     text = F.coalesce(F.col("text"), F.lit(""))
-    t = only(docs, "text").select(F.xxhash64(text).alias("k1"), F.crc32(text).alias("k2"), text.alias("text")).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    t.write.option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "k1", "k2").saveAsTable(name)
+    t = only(docs, "text").select(text_key(text).alias("key"), text.alias("text")).groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    t.write.option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").saveAsTable(name)
     atexit.register(_forget, spark, name)
     return spark.table(name)
 
@@ -229,27 +259,39 @@ def _forget(spark: SparkSession, name: str) -> None:
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (ends of the removed runs, in turn) of all rows."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "suffix")
+    scratch = Scratch(docs.sparkSession, "suffix")
     texts = _texts(docs)
-    all_sections = texts.where(F.octet_length("text") >= LENGTH).select("k1", "k2", "text").mapInArrow(_sections, "k1 long, k2 long, anchor long, digest long, start int, n int")
-    again = all_sections.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("digest").alias("x"), F.max("digest").alias("y")).where("c > 1").select("anchor", (F.col("x") != F.col("y")).alias("mixed"))
-    found = scratch.save(all_sections.join(again, "anchor"), "found")
-    kinds = found.where("mixed").groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k1", "k2", "start", "n")).alias("one"))
+    scratch.forget_shuffles()
+    every = scratch.save(texts.where(F.octet_length("text") >= LENGTH).select("key", "text").mapInArrow(_sections, "key binary, anchor long, digest binary, start int, n int"), "sections")
+    # what is joined to rows of a hot anchor or digest is written before, so that Spark can split the join
+    again = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("digest").alias("x"), F.max("digest").alias("y")).where("c > 1")
+    again = scratch.save(again.select("anchor", (F.col("x") != F.col("y")).alias("mixed")), "again")
+    found = scratch.save(every.join(again, "anchor"), "found")
+    scratch.forget_shuffles()
+    kinds = found.where("mixed").groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "start", "n")).alias("one"))
     kinds = scratch.save(kinds.select("anchor", "digest", "c", "one.*"), "kinds")
+    heavy = scratch.save(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HEAVY).select("anchor"), "heavy")
     piece = F.substring(F.col("text").cast("binary"), F.col("start") + 1, F.col("n") + LENGTH - 1)
-    pieces = texts.select("k1", "k2", "text").join(kinds.select("k1", "k2", "anchor", "digest", "start", "n"), ["k1", "k2"]).select("anchor", "digest", piece.alias("piece"))
-    marks = scratch.save(pieces.repartition(F.col("anchor")).sortWithinPartitions("anchor", "digest").mapInArrow(_sorted_groups, "anchor long, digest long, ranges array<int>"), "marks")
+    pieces = scratch.save(texts.select("key", "text").join(kinds.drop("c"), "key").select("anchor", "digest", piece.alias("piece")), "pieces")
+    scratch.forget_shuffles()
+    light = pieces.join(heavy, "anchor", "left_anti")
+    marks = light.repartition(F.col("anchor")).sortWithinPartitions("anchor", "digest").mapInArrow(_sorted_groups, "anchor long, digest binary, ranges array<int>")
+    windows = scratch.save(pieces.join(heavy, "anchor", "left_semi").mapInArrow(_windows, "anchor long, digest binary, at int, w binary"), "windows")
+    twice = scratch.save(windows.groupBy("w").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("w"), "twice")
+    places = windows.join(twice, "w", "left_semi").groupBy("anchor", "digest").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    places = places.select("anchor", "digest", F.flatten(F.transform("at", lambda i: F.array(i, i + 1))).alias("ranges"))
+    known = scratch.save(kinds.select("anchor", "digest", "c").join(marks.union(places), ["anchor", "digest"], "left"), "known")
+    scratch.forget_shuffles()
     whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b")))
     part = F.transform(F.sequence(F.lit(0), F.size("ranges") - 1, F.lit(2)), lambda i: F.struct((F.col("start") + F.get("ranges", i)).alias("a"), (F.col("start") + F.get("ranges", i + 1)).alias("b")))
-    alike = found.where("not mixed").select("k1", "k2", whole.alias("s"))
-    rest = found.where("mixed").join(kinds.select("anchor", "digest", "c"), ["anchor", "digest"]).join(marks, ["anchor", "digest"], "left")
-    rest = rest.select("k1", "k2", F.when(F.col("c") > 1, whole).when(F.col("ranges").isNotNull(), part).alias("s")).where("s is not null")
-    spans = scratch.save(alike.union(rest).groupBy("k1", "k2").agg(F.flatten(F.collect_list("s")).alias("spans")), "spans")
-    out = texts.join(spans, ["k1", "k2"], "left").select("k1", "k2", "text", "copies", "spans").mapInArrow(_cut, "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<int>")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    ids = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), F.crc32(text).alias("k2"))
-    return ids.join(scratch.save(out, "cut"), ["k1", "k2"]).drop("k1", "k2")
+    alike = found.where("not mixed").select("key", whole.alias("s"))
+    rest = found.where("mixed").join(known, ["anchor", "digest"]).select("key", F.when(F.col("c") > 1, whole).when(F.col("ranges").isNotNull(), part).alias("s")).where("s is not null")
+    spans = scratch.save(alike.union(rest).groupBy("key").agg(F.flatten(F.collect_list("s")).alias("spans")), "spans")
+    scratch.forget_shuffles()
+    cut = texts.join(spans, "key", "left").select("key", "text", "copies", "spans").mapInArrow(_cut, "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<int>")
+    cut = scratch.save(cut, "cut")
+    ids = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.coalesce(F.col("text"), F.lit(""))).alias("key"))
+    return ids.join(cut, "key").drop("key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,3 +71,27 @@ def test_special_cases(spark):
     n = len(t.encode())
     assert result(spark, [(5, t), (5, t)]) == [(5, n, 0, 0, False)] * 2  # one text of one id
     assert result(spark, []) == []
+
+
+def test_passages_of_51_words_are_found(spark):
+    """Against the places where they were set in: all are found, and most of their bytes."""
+    rng = random.Random(7)
+    rows, size = [], []
+    for i in range(400):
+        passage = " ".join(word(rng) for _ in range(51))
+        for j in (0, 1):
+            rows.append((2 * i + j, " ".join([*(word(rng) for _ in range(rng.randint(5, 30))), passage, *(word(rng) for _ in range(rng.randint(5, 30)))])))
+            size.append(len(passage.encode()))
+    rows += [(10_000 + i, " ".join(word(rng) for _ in range(100))) for i in range(100)]
+    got = {r[0]: r for r in result(spark, rows)}
+    found = [got[i][2] / n for i, n in enumerate(size)]
+    assert sum(x > 0 for x in found) >= 0.99 * len(found) and sum(found) / len(found) > 0.7
+    assert not any(got[10_000 + i][4] for i in range(100))
+
+
+def test_texts_that_polynomial_hashes_confuse(spark):
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    rows = [(1, a), (2, b)]
+    assert result(spark, rows) == brute(rows)

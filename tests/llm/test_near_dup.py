@@ -79,3 +79,33 @@ def test_one_hot_group(spark):
 
 def test_empty_table(spark):
     assert result(spark, [], 3, 85) == []
+
+
+def test_texts_that_polynomial_hashes_confuse(spark):
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    rows = [(1, a), (2, b), (3, f"x {a} y"), (4, f"x {b} y")]
+    assert result(spark, rows, 3, 85) == brute(rows, 3, 85) == [(i, 1, i, True) for i in range(1, 5)]
+
+
+def test_one_id_with_several_texts(spark):
+    rows = [(i % 60, t) for i, t in chain(11, groups=3, members=40)]
+    assert result(spark, rows, 3, 85) == brute(rows, 3, 85)
+
+
+def test_few_pairs_miss_every_band():
+    """Pairs of sets at the least similarity that must be found: the share without a common bucket is no more than (1 - s**ROWS)**BANDS."""
+    import numpy as np
+
+    from panelforge.llm import near_dup as N
+
+    rng = np.random.default_rng(3)
+    for common, own, most in ((170, 15, 1e-3), (160, 20, 1e-3)):  # 85 and 80 per cent
+        missed = 0
+        for _ in range(2000):
+            x = rng.integers(0, 1 << 63, common + 2 * own, dtype=np.uint64) * np.uint64(2)
+            a, b = np.sort(x[: common + own]), np.sort(x[own:])
+            ka, kb = (N.band_keys(N.signature(s, N.BANDS * N.ROWS), N.BANDS, N.ROWS) for s in (a, b))
+            missed += not (ka == kb).any()
+        assert missed <= most * 2000

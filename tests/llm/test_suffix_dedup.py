@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 
+from panelforge.llm import suffix_dedup as S
 from panelforge.llm.suffix_dedup import LENGTH, repeated, substring_dedup
 
 
@@ -70,3 +71,28 @@ def test_sort_finds_all_equal_windows():
         starts = rng.choice(2900, 1500, replace=False)
         seen = Counter(pool[i : i + 57].tobytes() for i in starts)
         assert repeated(pool, starts, 57, 16).tolist() == [seen[pool[i : i + 57].tobytes()] > 1 for i in starts]
+
+
+def test_anchors_of_many_sections_go_by_digests_of_windows(spark, monkeypatch):
+    monkeypatch.setattr(S, "HEAVY", 3)
+    rows = corpus(2)
+    assert result(spark, rows) == brute(rows)
+
+
+def test_sections_depend_on_their_text_alone():
+    """Ties among the grams, and pieces of any size: the same anchors and digests."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(150, 900))).encode() for _ in range(30)] + [b"a" * 700, b"ab" * 300]
+
+    def of(some):
+        data = np.frombuffer(b"".join(some), np.uint8)
+        offs = np.concatenate([[0], np.cumsum([len(x) for x in some])])
+        start, n, anchor, digest = S.sections(data, offs)
+        text = np.searchsorted(offs, start, "right") - 1
+        return [(int(t), int(s - offs[t]), int(k), int(a), d) for t, s, k, a, d in zip(text, start, n, anchor, digest, strict=True)]
+
+    alone = [(i, *x[1:]) for i, t in enumerate(texts) for x in of([t])]
+    assert alone == of(texts)
+    for h in (rng.choices(range(5), k=400), [1] * 400):
+        h = np.array(h, np.uint64)
+        assert S.leftmost_least(h, 153).tolist() == [i + int(np.argmin(h[i : i + 153])) for i in range(len(h) - 152)]
