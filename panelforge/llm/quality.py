@@ -1,12 +1,12 @@
-"""Quality rules: counts of each text, and the perplexity of its characters under a modified Kneser-Ney model of all other texts, with a lower and an upper bound for each language.
+"""Quality rules: counts of each text, and the perplexity of its characters under a modified Kneser-Ney model of the other texts, with a lower and an upper bound for each language.
 
-The model counts n-grams of whole characters, without folding, up to LENGTH of them, over the distinct texts of the corpus: copies of a text count once. Distinct texts are dealt into blocks of about BLOCK bytes by the hash of the text. Each block sends every n-gram once; Spark sums them to a table by n-gram (count as n-gram; total and kinds of what follows as context), which no process holds whole. A block gets the rows of its own n-grams back by a join, so what a task holds follows the block and not the corpus.
+The model counts n-grams of LENGTH whole characters, without folding. The count of an n-gram is the number of distinct texts that hold it, less one: a text is never a witness for its own n-grams (nor are its copies), whatever its length, so one table serves all texts and still judges each by the others alone. Counts of lower orders follow as usual, from the kinds of characters that stand before. A text begins as a line does.
 
-A text is scored with its own counts left out, on all orders: what occurs in it alone is unknown to the model that judges it.
+Distinct texts are dealt into blocks of about BLOCK bytes. Each block counts its n-grams once; Spark sums them, and computes the probabilities order by order with joins on the n-gram itself, so no process holds the model whole and it grows with the corpus. A block gets the rows of its own n-grams back, as a sorted array of hashes with their values, and looks its texts up in it.
 
 A language's band is centred on the median negative log-likelihood per character of its distinct texts that pass the base rules. Spread follows length: the median absolute deviation of each length class (powers of two), over all languages, times the language's own median of deviations so measured (at least LEAST_SCALE, so that near copies can't shrink it to nothing). The band ends where a normal spread leaves TAIL of the texts outside. Languages and length classes of fewer than FEW distinct texts take what all texts together give. No label enters. Medians are of values rounded to 1/1000, so reruns agree.
 
-Results in special cases: null and empty texts have zero counts, fail the base rules and are not kept; a null language is a language of its own; rows that repeat a doc_id each get their row; an empty table gives no rows.
+Results in special cases: null and empty texts have zero counts, fail the base rules and are not kept; a null language is a language of its own; rows that repeat a doc_id each get their row; columns beyond doc_id, text, lang are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,123 +18,22 @@ from statistics import NormalDist
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytescan as B
-from .common import Scratch, only, table
+from .common import Scratch, only, table, text_key
 
-ORDER, BITS = 4, 6
-SYMBOLS = 1 << BITS
-#: Characters of the longest n-gram; bytes of text in a block, and the least where there are cores without one; rows of one text from which the join to its rows is by broadcast.
-LENGTH, BLOCK, LEAST_BLOCK, MANY = 5, 16 << 20, 4 << 20, 1000
+#: Characters of the longest n-gram; bytes of text in a block, and the least where there are cores without one; bytes that are worked on at a time.
+LENGTH, BLOCK, LEAST_BLOCK, PIECE = 5, 32 << 20, 4 << 20, 1 << 19
 #: Share of the texts outside the band were they spread normally; the least deviation; the least scale of a language; how few texts have no band of their own.
 TAIL, FLOOR, LEAST_SCALE, FEW = 1e-4, 0.005, 0.5, 50
 #: The band's half width in median absolute deviations.
 WIDTH = NormalDist().inv_cdf(1 - TAIL / 2) / NormalDist().inv_cdf(0.75)
-
-
-def _classes() -> np.ndarray:
-    """0 is before the text, 1 white space, 2 line feed, 3 digit, 4-29 letters, 30-41 bytes beyond ASCII, 42-61 single marks, 62 other marks, 63 control."""
-    c = np.full(256, 63, np.uint32)
-    c[[0x20, 0x09, 0x0B, 0x0C, 0x0D]] = 1
-    c[0x0A] = 2
-    c[48:58] = 3
-    c[65:91] = c[97:123] = np.arange(4, 30)
-    c[128:] = 30 + np.arange(128) % 12
-    c[33:48] = c[58:65] = c[91:97] = c[123:127] = 62
-    for i, m in enumerate(b".,;:!?'\"-()|#*$%&<>@"):
-        c[m] = 42 + i
-    return c
-
-
-CLASSES = _classes()
 MARKS = np.isin(np.arange(256), list(b"#*$%&|<>"))
-
-
-def ngrams(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Of each byte the classes of it and the ORDER - 1 before it in its text, as one number."""
-    code = part = CLASSES[data]
-    first = offs[:-1][np.diff(offs) > 0]
-    for j in range(1, ORDER):
-        part = np.concatenate([part[:1], part[:-1]])
-        part[first] = 0
-        code = code | (part << np.uint32(BITS * j))
-    return code
-
-
-def _sorted_by_hash(codes: np.ndarray, order: int, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    h = _hash(codes, order)
-    o = np.argsort(h)
-    return h[o], *(v[o] for v in values)
-
-
-def _hash(codes: np.ndarray, order: int) -> np.ndarray:
-    return B.mix(codes.astype(B.U64) + B.U64(order << 40))
-
-
-def _find(keys: np.ndarray, codes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    h = _hash(codes, order)
-    at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-    return at, (keys[at] == h if len(keys) else np.zeros(len(h), bool))
-
-
-class KneserNey:
-    """The plain form of the model, over classes of bytes and in one process; the formula is the same.
-
-    grams[k]: (hashes of the k-grams in order, their probability given the k - 1 before); backs[k]: (hashes of the contexts of k symbols, the weight of the shorter context)."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        self.grams, self.backs = {}, {}
-        per_order = {ORDER: (codes.astype(np.int64), counts.astype(np.float64))}
-        for k in range(ORDER - 1, 0, -1):  # how many symbols can stand before a k-gram
-            c, n = np.unique(per_order[k + 1][0] & ((1 << (BITS * k)) - 1), return_counts=True)
-            per_order[k] = (c, n.astype(np.float64))
-        below = None
-        for k in range(1, ORDER + 1):
-            c, n = per_order[k]
-            d = self.discounts(n)[np.minimum(n, 3).astype(int)]
-            context, where = np.unique(c >> BITS, return_inverse=True)
-            total = np.bincount(where, n, len(context))
-            back = np.bincount(where, d, len(context)) / total
-            lower = below[c & ((1 << (BITS * (k - 1))) - 1)] if k > 1 else np.full(len(c), 1 / SYMBOLS)
-            p = (n - d) / total[where] + back[where] * lower
-            self.grams[k] = _sorted_by_hash(c, k, np.log(p).astype(np.float32))
-            self.backs[k - 1] = _sorted_by_hash(context, k - 1, np.log(back).astype(np.float32))
-            below = np.zeros(1 << (BITS * k)) if k < ORDER else None
-            if below is not None:
-                below[c] = p
-
-    @staticmethod
-    def discounts(n: np.ndarray) -> np.ndarray:
-        """Of counts 0, 1, 2, 3 and more, from the counts of counts; 0.5, 1, 1.5 where those are too few to tell."""
-        return KneserNey.discounts_of([0, *((n == i).sum() for i in (1, 2, 3, 4))])
-
-    @staticmethod
-    def discounts_of(m) -> np.ndarray:
-        """The same from how many have count 1, 2, 3 and 4 (m[0] is not used)."""
-        if min(m[1:5]) == 0:
-            return np.array([0, 0.5, 1.0, 1.5])
-        y = m[1] / (m[1] + 2 * m[2])
-        d = [i - (i + 1) * y * m[i + 1] / m[i] for i in (1, 2, 3)]
-        return np.array([0, *(min(max(x, 0.05), i - 0.05) for i, x in enumerate(d, 1))])
-
-    def log_p(self, codes: np.ndarray) -> np.ndarray:
-        """Of each symbol given those before it."""
-        out, left, weight = np.zeros(len(codes)), np.arange(len(codes)), np.zeros(len(codes))
-        for k in range(ORDER, 0, -1):
-            c = codes[left].astype(np.int64) & ((1 << (BITS * k)) - 1)
-            keys, p = self.grams[k]
-            at, found = _find(keys, c, k)
-            out[left[found]] = weight[left[found]] + p[at[found]]
-            left, c = left[~found], c[~found]
-            if not len(left):
-                return out
-            keys, back = self.backs[k - 1]
-            at, found = _find(keys, c >> BITS, k - 1)
-            weight[left[found]] += back[at[found]]
-        out[left] = weight[left] - np.log(SYMBOLS)
-        return out
+NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+#: What stands before a text.
+BEFORE = "\n" * (LENGTH - 1)
 
 
 def measures(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
@@ -150,208 +49,158 @@ def measures(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     with_word = has[ends] > has[starts]
     starts, ends = starts[with_word], ends[with_word]
     text = np.searchsorted(offs, starts, "right") - 1
-    key = B.mix(B.Hasher(data).ranges(starts, ends) + text.astype(B.U64) * B.U64(0xD6E8FEB86659FD93))
-    _, first = np.unique(key, return_index=True)
-    again = np.ones(len(key), bool)
+    _, first = np.unique(B.pair(text, w.bytes.names(starts, ends)), return_index=True)
+    again = np.ones(len(starts), bool)
     again[first] = False
     out["n_dup_lines"] = np.bincount(text[again], minlength=texts)
-    # words in windows of three that the text has twice or more
-    h, whole = w.shingles(3)
-    h = B.mix(h + w.text[: len(h)].astype(B.U64) * B.U64(0xD6E8FEB86659FD93))
-    s = np.sort(h[whole])
-    more = s[1:][s[1:] == s[:-1]]
-    hit = np.zeros(len(w.starts) + 2, bool)
-    if len(more):
-        at = np.minimum(np.searchsorted(more, h), len(more) - 1)
-        i = np.flatnonzero((more[at] == h) & whole)
-        hit[i] = hit[i + 1] = hit[i + 2] = True
-    out["n_repeat_words"] = np.bincount(w.text[hit[: len(w.text)]], minlength=texts)
+    out["n_repeat_words"] = np.bincount(w.text[w.repeated(3)], minlength=texts)
     return out
 
 
-NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+def discounts_of(m) -> list[float]:
+    """Discounts of counts 0, 1, 2, 3 and more, from how many n-grams have count 1, 2, 3 and 4 (m[0] is not used); 0.5, 1, 1.5 where those are too few to tell."""
+    if min(m[1:5]) == 0:
+        return [0.0, 0.5, 1.0, 1.5]
+    y = m[1] / (m[1] + 2 * m[2])
+    d = [i - (i + 1) * y * m[i + 1] / m[i] for i in (1, 2, 3)]
+    return [0.0, *(min(max(x, 0.05), i - 0.05) for i, x in enumerate(d, 1))]
 
 
 _MULTIPLIERS = np.random.default_rng(9).integers(1, 1 << 63, LENGTH, dtype=np.uint64) * B.U64(2) + B.U64(1)
-_PAD = B.mix(np.zeros(1, B.U64))[0]
-#: Hashes of 0 .. LENGTH - 1 places before a text.
-PADS = [B.mix((_MULTIPLIERS[:k] * _PAD).sum(keepdims=True, dtype=B.U64) + B.U64(k))[0] for k in range(LENGTH)]
-FACTS = ["n", "total", "n1", "n2", "n3"]
 
 
-def characters(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The characters of the texts (their UTF-8 bytes as a number) and where each text begins among them."""
-    lead = (data & 0xC0) != 0x80
-    at = np.flatnonzero(lead)
+def characters(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The characters of the texts (their UTF-8 bytes as a number), their first bytes, and where each text begins among them."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
     size = np.diff(np.append(at, len(data)))
     chars = data[at].astype(B.U64)
     for j in range(1, 4):
         i = np.flatnonzero(size > j)
         chars[i] = chars[i] << B.U64(8) | data[at[i] + j]
-    return chars, np.searchsorted(at, offs)
-
-
-def hashes(chars: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
-    """[k - 1]: of each character, the hash of the k that end with it in its text."""
-    first = offs[:-1][np.diff(offs) > 0]
-    part, h, out = B.mix(chars + B.U64(1)), np.zeros(len(chars), B.U64), []
-    for k in range(1, LENGTH + 1):
-        h = h + part * _MULTIPLIERS[k - 1]
-        out.append(B.mix(h + B.U64(k)))
-        part = np.concatenate([part[:1], part[:-1]])
-        part[first] = _PAD
-    return out
+    return chars, at, np.searchsorted(at, offs)
 
 
-def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One place of each distinct key, in the order of the keys, and the number of its key for each place."""
-    o = np.argsort(keys)
-    new = np.ones(len(o), bool)
-    new[1:] = keys[o[1:]] != keys[o[:-1]]
-    which = np.empty(len(o), np.int64)
-    which[o] = np.cumsum(new) - 1
-    return o[new], which
+def with_start(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts, each behind BEFORE."""
+    n = len(offs) - 1
+    new = offs + len(BEFORE) * np.arange(n + 1)
+    out = np.full(new[-1], ord(BEFORE[0]), np.uint8)
+    out[np.arange(len(data)) + len(BEFORE) * np.repeat(np.arange(1, n + 1), np.diff(offs))] = data
+    return out, new
 
 
-def _distinct(t: pa.Table) -> pa.RecordBatch:
-    """(h, text) of a block, each text once, in the order of h."""
-    t = pa.concat_tables([_EMPTY, *(pa.ipc.open_stream(_open(x)).read_all() for x in t["packed"].to_pylist())])
-    _, first = np.unique(t["h"].to_numpy(), return_index=True)
-    t = t.take(pa.array(first))
-    return pa.RecordBatch.from_arrays([pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in t.columns], names=["h", "text"])
+def hashes(chars: np.ndarray) -> np.ndarray:
+    """Of each character but the first LENGTH - 1: the hash of the LENGTH that end with it."""
+    part, n = B.mix(chars + B.U64(1)), len(chars) - LENGTH + 1
+    if n <= 0:
+        return np.zeros(0, B.U64)
+    h = np.zeros(n, B.U64)
+    for k in range(LENGTH):
+        h += part[LENGTH - 1 - k : LENGTH - 1 - k + n] * _MULTIPLIERS[k]
+    return B.mix(h)
+
 
+def positions(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of the n-gram that ends with each character of the texts, its text, first byte and byte after the last of the n-gram in the texts with BEFORE)."""
+    padded, poffs = with_start(data, offs)
+    chars, at, coffs = characters(padded, poffs)
+    h = hashes(chars)
+    text = np.repeat(np.arange(len(offs) - 1), np.diff(coffs))
+    own = np.flatnonzero(text[: len(h)] == text[LENGTH - 1 :]) if len(h) else np.zeros(0, np.int64)
+    ends = np.append(at[1:], len(padded))
+    return h[own], text[own], at[own], ends[own + LENGTH - 1]
 
-_EMPTY = pa.schema([("h", pa.int64()), ("text", pa.string())]).empty_table()
-_GRAMS = pa.schema([("block", pa.int32()), ("k", pa.int32()), *((n, pa.int64()) for n in ("h", "m", "end", "context"))])
 
+def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Ranges of bytes as strings."""
+    size = ends - starts
+    offs = np.concatenate([[0], np.cumsum(size)])
+    flat = data[np.arange(offs[-1]) + np.repeat(starts - offs[:-1], size)]
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(flat))
 
-def _open(packed: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(packed)
+
+_EMPTY = pa.schema([("key", pa.binary()), ("text", pa.string())]).empty_table()
+_GRAMS = pa.schema([("block", pa.int32()), ("g", pa.string()), ("m", pa.int64())])
+
+
+def _distinct(t: pa.Table) -> pa.RecordBatch:
+    """(key, text) of a block, each text once, in the order of the keys."""
+    t = pa.concat_tables([_EMPTY, *(pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(x.as_py())).read_all() for x in t["packed"])])
+    keys, first = t["key"].to_pylist(), {}
+    for i, key in enumerate(keys):
+        first.setdefault(key, i)
+    t = t.take(pa.array([first[k] for k in sorted(first)], pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in t.columns], names=["key", "text"])
 
 
 def _grams(key: tuple, t: pa.Table) -> pa.Table:
-    """The distinct n-grams of a block, of each order k, with the hashes of their ends and contexts (the last and the first k - 1 characters); those of LENGTH with their count."""
-    parts = [[] for _ in range(LENGTH)]
-    for _, _, data, offs in B.texts(_distinct(t), piece=1 << 19):
-        chars, coffs = characters(data, offs)
-        if not len(chars):
+    """The distinct n-grams of a block, and how many of its texts hold each."""
+    known, counts, rows = np.zeros(0, B.U64), np.zeros(0, np.int64), [pa.array([], pa.string())]
+    for _, _, data, offs in B.texts(_distinct(t), piece=PIECE):
+        h, text, starts, ends = positions(data, offs)
+        if not len(h):
             continue
-        hs = hashes(chars, coffs)
-        first = np.zeros(len(chars), bool)
-        first[coffs[:-1][np.diff(coffs) > 0]] = True
-        at = np.arange(len(chars))
-        for k in range(LENGTH, 0, -1):
-            i, which = _groups(hs[k - 1][at])
-            m = np.bincount(which)
-            at = at[i]
-            end = hs[k - 2][at] if k > 1 else np.full(len(at), PADS[0])
-            context = np.where(first[at], PADS[k - 1], hs[k - 2][at - 1]) if k > 1 else end
-            parts[k - 1].append(np.stack([hs[k - 1][at], m.astype(B.U64), end, context]))
-    out = []
-    for k, x in enumerate(parts, 1):
-        if x:
-            x = np.concatenate(x, axis=1)
-            i, which = _groups(x[0])
-            m = pa.array(np.bincount(which, x[1].astype(np.float64)).astype(np.int64)) if k == LENGTH else pa.nulls(len(i), pa.int64())
-            h, _, end, context = (pa.array(y[i].view(np.int64)) for y in x)
-            out.append(pa.Table.from_arrays([pa.array(np.full(len(i), y, np.int32)) for y in (key[0].as_py(), k)] + [h, m, end, context], schema=_GRAMS))
-    if out:  # what stands before a text
-        pads = pa.array(np.array(PADS, B.U64).view(np.int64))
-        out.append(pa.Table.from_arrays([pa.array(np.full(len(pads), y, np.int32)) for y in (key[0].as_py(), 0)] + [pads, *[pa.nulls(len(pads), pa.int64())] * 3], schema=_GRAMS))
-    return pa.concat_tables([_GRAMS.empty_table(), *out])
+        one, which = B.groups(h)
+        pairs = B.distinct(B.pair(which, text))
+        m = np.bincount(pairs // (int(text.max()) + 1), minlength=len(one))
+        h = h[one]
+        at = np.searchsorted(known, h)
+        old = np.zeros(len(h), bool)
+        old[at < len(known)] = known[at[at < len(known)]] == h[at < len(known)]
+        counts[at[old]] += m[old]
+        new = np.flatnonzero(~old)
+        rows = [pa.concat_arrays([*rows, _strings(with_start(data, offs)[0], starts[one[new]], ends[one[new]])])] if len(new) else rows
+        everything = np.concatenate([known, h[new]])
+        o = np.argsort(everything)
+        known, counts, rows = everything[o], np.concatenate([counts, m[new]])[o], [rows[0].take(pa.array(o))]
+    out = pa.Table.from_arrays([pa.array(np.full(len(counts), key[0].as_py(), np.int32)), rows[0], pa.array(counts)], schema=_GRAMS)
+    B.give_back()
+    return out
 
 
 class Known:
-    """The model's rows of a block's n-grams, and the likelihood of the block's texts, each by what the others hold."""
+    """Log-probabilities of a block's n-grams, behind the sorted array of their hashes."""
 
-    def __init__(self, h: np.ndarray, facts: np.ndarray, discounts: np.ndarray, n_chars: int):
+    def __init__(self, grams: pa.Array, values: np.ndarray):
+        _, offs, data = grams.buffers()
+        offs = np.frombuffer(offs, np.int64 if pa.types.is_large_string(grams.type) else np.int32)[grams.offset : grams.offset + len(grams) + 1].astype(np.int64)
+        data = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if len(grams) else np.zeros(0, np.uint8)
+        h = hashes(characters(data, offs - offs[0])[0])[::LENGTH]  # every n-gram has LENGTH characters
         o = np.argsort(h)
-        self.h, self.facts, self.discounts, self.base = h[o], np.ascontiguousarray(facts[:, o].T), discounts, 1 / (n_chars + 1)
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """FACTS of each hash; zeros where it is not known."""
-        if not len(self.h):
-            return np.zeros((len(FACTS), len(h)))
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        out = self.facts[at]
-        out[self.h[at] != h] = 0
-        return out.T
-
-    def log_p(self, chars: np.ndarray, offs: np.ndarray, leave_out: bool = True) -> np.ndarray:
-        """Of each character given those before it in its text."""
-        if not len(chars):
-            return np.zeros(0)
-        hs, texts = hashes(chars, offs), len(offs) - 1
-        text = np.repeat(np.arange(texts), np.diff(offs))
-        low = B.U64((1 << 20) - 1)
-        # entries: distinct (n-gram, text) of each order; those of an order point to their ends in the order below
-        at, down, entry, found = [None] * LENGTH, [None] * LENGTH, [None] * LENGTH, [None] * LENGTH
-        for k in range(LENGTH, 0, -1):
-            here = at[k] if k < LENGTH else np.arange(len(chars))
-            i, which = _groups((hs[k - 1][here] & ~low) | text[here].astype(B.U64))
-            at[k - 1], down[k - 1] = here[i], which
-            entry[k - 1] = which if k == LENGTH else which[entry[k]]
-            found[k - 1] = self.find(hs[k - 1][here[i]])
-        lost = np.bincount(down[-1]).astype(float)  # what the text itself gives to each count
-        left = [None] * LENGTH
-        for k in range(LENGTH, 0, -1):
-            n = found[k - 1][0]
-            left[k - 1] = np.maximum(0, n - lost) if leave_out else n
-            if k > 1:
-                lost = np.bincount(down[k - 2], (n > 0) & (left[k - 1] == 0), len(at[k - 2]))
-        p = None
-        for k in range(1, LENGTH + 1):
-            n, rest, where = found[k - 1][0], left[k - 1], at[k - 1]
-            # contexts: entries of the order below that end one character before; at a text's first character, its own
-            starts = where == offs[text[where]]
-            if k == 1:
-                context, facts = text[where], np.repeat(self.find(np.array(PADS[:1], B.U64)), texts, axis=1)
-            else:
-                size = len(at[k - 2])
-                context = np.where(starts, size + text[where], entry[k - 2][np.maximum(where - 1, 0)])
-                facts = np.concatenate([found[k - 2], np.repeat(self.find(np.array(PADS[k - 1 : k], B.U64)), texts, axis=1)], axis=1)
-            size = facts.shape[1]
-            total = facts[1] - np.bincount(context, n - rest, size)
-            d = self.discounts[k - 1]
-            dn, dr = d[np.minimum(n, 3).astype(int)], d[np.minimum(rest, 3).astype(int)]
-            back = d[1] * facts[2] + d[2] * facts[3] + d[3] * facts[4] - np.bincount(context, dn - dr, size)
-            total, back = np.maximum(total, 0)[context], np.maximum(back, 0)[context]
-            lower = self.base if p is None else p[down[k - 2]]
-            some = total > 0.5
-            total = np.where(some, total, 1)
-            p = np.where(some, (rest - dr) / total + back / total * lower, lower)
-        return np.log(p)[entry[-1]]
-
-
-def _score(discounts: np.ndarray, n_chars: int):
-    schema = pa.schema([("h", pa.int64()), *((n, pa.int64()) for n in NAMES), ("n_chars", pa.int64()), ("nll", pa.float64())])
-
-    def run(_, t: pa.Table, rows: pa.Table) -> pa.Table:
-        known = Known(rows["h"].to_numpy().view(B.U64), np.stack([rows[c].to_numpy() for c in FACTS]).astype(np.float64), discounts, n_chars)
-        out, batch = [], _distinct(t)
-        for lo, hi, data, offs in B.texts(batch, piece=1 << 19):
-            chars, coffs = characters(data, offs)
-            n = np.diff(coffs)
-            nll = np.zeros(hi - lo)
-            if len(chars):
-                nll[n > 0] = -np.add.reduceat(known.log_p(chars, coffs), coffs[:-1][n > 0]) / n[n > 0]
-            m = measures(data, offs)
-            out.append(pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), *(pa.array(m[x].astype(np.int64)) for x in NAMES), pa.array(n.astype(np.int64)), pa.array(nll)], schema=schema))
-        return pa.Table.from_batches(out, schema)
+        self.h, self.values = h[o], values[o]
 
-    return run
+    def log_p(self, h: np.ndarray) -> np.ndarray:
+        one, which = B.groups(h)
+        return self.values[np.searchsorted(self.h, h[one])][which]
+
+
+_SCORED = pa.schema([("key", pa.binary()), *((n, pa.int64()) for n in NAMES), ("n_chars", pa.int64()), ("nll", pa.float64())])
+
+
+def _score(_, t: pa.Table, rows: pa.Table) -> pa.Table:
+    grams = rows["g"].combine_chunks()
+    known = Known(grams.chunk(0) if isinstance(grams, pa.ChunkedArray) and grams.num_chunks else grams if isinstance(grams, pa.Array) else pa.array([], pa.string()), rows["lp"].to_numpy())
+    out, batch = [], _distinct(t)
+    for lo, hi, data, offs in B.texts(batch, piece=PIECE):
+        h, text, _, _ = positions(data, offs)
+        n = np.bincount(text, minlength=hi - lo)
+        total = np.bincount(text, -known.log_p(h), hi - lo) if len(h) else np.zeros(hi - lo)
+        m = measures(data, offs)
+        out.append(pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(m[x].astype(np.int64)) for x in NAMES), pa.array(n), pa.array(total / np.maximum(n, 1))], schema=_SCORED))
+    B.give_back()
+    return pa.Table.from_batches(out, _SCORED)
 
 
 def _pack(blocks: int):
-    """(h, text) to (block, packed): the texts of a block together and compressed. A task sends a text once, so that copies don't meet in one task."""
+    """(key, text) to (block, packed): the texts of a block together and compressed. A task sends a text once, so that copies don't meet in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, waiting, size = np.zeros(0, np.int64), [], 0
+        seen, waiting, size = set(), [], 0
         pack = zstandard.ZstdCompressor(level=3)
 
         def packed() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(waiting)
-            block = t["h"].to_numpy() % blocks
+            block = np.array([int.from_bytes(k[:8]) % blocks for k in t["key"].to_pylist()], np.int64)
             o = np.argsort(block, kind="stable")
             edges = np.flatnonzero(np.diff(block[o], prepend=-1, append=blocks))
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
@@ -361,42 +210,52 @@ def _pack(blocks: int):
                 yield pa.RecordBatch.from_arrays([pa.array([block[o[lo]]], pa.int32()), pa.array([pack.compress(sink.getvalue().to_pybytes())], pa.binary())], names=["block", "packed"])
 
         for batch in batches:
-            h, first = np.unique(batch.column(0).to_numpy(), return_index=True)
-            new = ~np.isin(h, seen)
-            if not new.any():
+            new = []
+            for i, key in enumerate(batch.column(0).to_pylist()):
+                if key not in seen:
+                    seen.add(key)
+                    new.append(i)
+            if not new:
                 continue
-            seen = np.union1d(seen, h[new])
-            waiting.append(batch.take(pa.array(np.sort(first[new]))).cast(_EMPTY.schema))
+            waiting.append(batch.take(pa.array(new)).cast(_EMPTY.schema))
             size += waiting[-1].nbytes
-            if size > 1 << 26:
+            if size > 1 << 25:
                 yield from packed()
                 waiting, size = [], 0
         if waiting:
             yield from packed()
+        B.give_back()
 
     return run
 
 
-def train(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndarray, int]:
-    """(block, h, FACTS: the model's rows of each block's n-grams; discounts of each order; distinct characters)."""
-    grams = scratch.save(texts.groupBy("block").applyInArrow(_grams, "block int, k int, h long, m long, end long, context long"), "grams")
-    facts, sizes, given = [], [], None
-    zeros = [F.lit(0).cast("long").alias(c) for c in FACTS]
-    of = lambda test: F.sum(F.when(test, 1).otherwise(0))
-    for k in range(LENGTH, 0, -1):
-        own = grams.where(F.col("k") == k).select("h", "m", "end", "context")
-        if given is not None:  # counts of the lower orders: in how many n-grams they are the end
-            own = own.union(given.groupBy(F.col("end").alias("h")).agg(F.count(F.lit(1)).alias("m"), F.lit(None).cast("long"), F.lit(None).cast("long")))
-        t = given = scratch.save(own.groupBy("h").agg(F.sum("m").alias("n"), F.max("end").alias("end"), F.max("context").alias("context")), "order")
-        facts.append(t.select("h", "n", *zeros[1:]))
-        facts.append(t.groupBy(F.col("context").alias("h")).agg(zeros[0], F.sum("n").alias("total"), of(F.col("n") == 1).alias("n1"), of(F.col("n") == 2).alias("n2"), of(F.col("n") > 2).alias("n3")).select("h", *FACTS))
-        sizes.append(t.groupBy(F.lit(k).alias("k"), F.least("n", F.lit(5)).alias("n")).agg(F.count(F.lit(1)).alias("c")))
-    model = reduce(DataFrame.union, facts).groupBy("h").agg(*(F.sum(c).alias(c) for c in FACTS))
-    of_counts = np.zeros((LENGTH, 6))
-    for k, n, c in reduce(DataFrame.union, sizes).collect():
-        of_counts[k - 1, n] = c
-    discounts = np.stack([KneserNey.discounts_of(m) for m in of_counts])
-    return grams.select("block", "h").join(model, "h").select("block", "h", *FACTS), discounts, int(of_counts[0].sum())
+def train(grams: DataFrame, scratch: Scratch) -> DataFrame:
+    """(g, lp): the log-probability of the last character of each n-gram that a text holds, given those before it. grams: (g, m), m texts hold g."""
+    last = {LENGTH: scratch.save(grams.groupBy("g").agg((F.sum("m") - 1).alias("n")), "order")}
+    for k in range(LENGTH - 1, 0, -1):  # in how many n-grams they are the end
+        last[k] = scratch.save(last[k + 1].groupBy(F.substring("g", 2, k).alias("g")).agg(F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("n")), "order")
+    sizes = [t.where("n > 0").groupBy(F.least("n", F.lit(5)).cast("int").alias("n")).agg(F.lit(k).alias("k"), F.count(F.lit(1)).alias("c"), F.sum(t["n"]).alias("s")) for k, t in last.items()]
+    m, total = np.zeros((LENGTH + 1, 6)), np.zeros(LENGTH + 1)
+    for n, k, c, s in reduce(DataFrame.union, sizes).collect():  # five rows an order
+        m[k, n] = c
+        total[k] += s
+    d = {k: discounts_of(m[k]) for k in last}
+    off = lambda k, n: F.when(n >= 3, d[k][3]).when(n == 2, d[k][2]).when(n == 1, d[k][1]).otherwise(0.0)
+    # the first order has one context, whose sums are known
+    base = 1 / (m[1].sum() + 1)
+    back = (d[1][1] * m[1, 1] + d[1][2] * m[1, 2] + d[1][3] * m[1, 3:].sum()) / total[1] if total[1] else 1.0
+    n = F.col("n")
+    p = last[1].select("g", ((n - off(1, n)) / F.lit(float(max(total[1], 1))) + F.lit(float(back * base))).alias("p"))
+    for k in range(2, LENGTH + 1):
+        t = last[k]
+        kinds = [F.sum(F.when(x, 1).otherwise(0)) * F.lit(d[k][i]) for i, x in ((1, n == 1), (2, n == 2), (3, n > 2))]
+        of = t.where("n > 0").groupBy(F.substring("g", 1, k - 1).alias("context")).agg(F.sum("n").alias("total"), (kinds[0] + kinds[1] + kinds[2]).alias("off"))
+        t = t.select("g", "n", F.substring("g", 1, k - 1).alias("context"), F.substring("g", 2, k - 1).alias("end")).join(of, "context", "left").join(p.select(F.col("g").alias("end"), F.col("p").alias("lower")), "end")
+        own = (n - off(k, n)) / F.col("total") + F.col("off") / F.col("total") * F.col("lower")
+        p = t.select("g", F.when(F.col("total").isNull(), F.col("lower")).otherwise(own).alias("p"))
+        if k < LENGTH:
+            p = scratch.save(p, "p")
+    return p.select("g", F.log("p").alias("lp"))
 
 
 def bands(good: DataFrame) -> DataFrame:
@@ -420,40 +279,49 @@ def length_class():
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, h (hash of the text), counts, nll, base_failed, lower, upper, kept."""
+    """doc_id, lang, key (of the text), counts, nll, base_failed, lower, upper, kept."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
-    d = only(docs, "doc_id", "lang", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("h"), "text")
-    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    d = only(docs, "doc_id", "lang", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_key(F.col("text")).alias("key"), "text")
+    size = docs.agg(F.sum(F.octet_length(F.col("text")))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK), min(spark.sparkContext.defaultParallelism, -(-size // LEAST_BLOCK)))
-    texts = d.where("text is not null").select("h", "text").mapInArrow(_pack(blocks), "block int, packed binary")
-    model, discounts, n_chars = train(texts, scratch)
-    schema = "h long, " + ", ".join(f"{n} long" for n in NAMES) + ", n_chars long, nll double"
+    texts = d.where("text is not null").select("key", "text").mapInArrow(_pack(blocks), "block int, packed binary")
+    grams = scratch.save(texts.groupBy("block").applyInArrow(_grams, "block int, g string, m long"), "grams")
+    scratch.forget_shuffles()
+    model = scratch.save(train(grams.select("g", "m"), scratch), "model")
+    scratch.forget_shuffles()
+    found = scratch.save(grams.select("block", "g").join(model, "g").select("block", "g", "lp"), "found")
+    scratch.forget_shuffles()
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    scored = scratch.save(texts.groupBy("block").cogroup(model.groupBy("block")).applyInArrow(_score(discounts, n_chars), schema).withColumn("base_failed", failed), "scored")
+    schema = "key binary, " + ", ".join(f"{n} long" for n in NAMES) + ", n_chars long, nll double"
+    scored = texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_score, schema)
+    scored = scratch.save(scored.withColumn("nll", F.round("nll", 9)).withColumn("base_failed", failed), "scored")
+    scratch.forget_shuffles()
     # each text once for each of its languages
-    pairs = scratch.save(d.where("text is not null").groupBy("h", "lang").agg(F.count(F.lit(1)).alias("n_rows")).join(scored, "h"), "pairs")
-    b = scratch.save(bands(pairs.where("not base_failed")), "bands")
-    own = lambda x, y: b.where(x).where(f"class is {y} null").select(*(F.col(c).alias(f"_{c}") for c in ("lang", "class", "mid", "half")))
+    kinds = d.where("text is not null").select("key", "lang").distinct()
+    pairs = scratch.save(kinds.join(scored, "key"), "pairs")
+    v = scratch.save(_judged(pairs, scratch.save(bands(pairs.where("not base_failed")), "bands")), "verdicts")
+    scratch.forget_shuffles()
+    values = [*NAMES, "nll", "base_failed", "lower", "upper", "kept"]
+    rows = d.select("doc_id", "lang", "key").alias("d").join(v.alias("v"), (F.col("d.key") == F.col("v.key")) & F.col("d.lang").eqNullSafe(F.col("v.lang"))).select("d.doc_id", "d.lang", "d.key", *(f"v.{c}" for c in values))
+    null = {**{n: F.lit(0).cast("long") for n in NAMES}, "nll": F.lit(0.0), "base_failed": F.lit(True), "lower": F.lit(None).cast("double"), "upper": F.lit(None).cast("double"), "kept": F.lit(False)}
+    none = d.where("text is null").select("doc_id", "lang", "key", *(null[c].alias(c) for c in values))
+    return rows.union(none)
+
+
+def _judged(pairs: DataFrame, b: DataFrame) -> DataFrame:
+    """The texts with the narrowest band there is for each: of its language and length, of its language, of all texts of its length, of all texts. Bands are as many as languages times length classes."""
     v = pairs.withColumn("class", length_class())
     lang = F.col("lang").eqNullSafe(F.col("_lang"))
-    for i, (pool, null) in enumerate([("not pool", "not"), ("not pool", ""), ("pool", "not"), ("pool", "")]):
+    found: list[Column] = []
+    for pool, null in (("not pool", "not"), ("not pool", ""), ("pool", "not"), ("pool", "")):
+        own = b.where(pool).where(f"class is {null} null").select(*(F.col(c).alias(f"_{c}") for c in ("lang", "class")), F.struct("mid", "half").alias(f"b{len(found)}"))
         on = ([lang] if pool != "pool" else []) + ([F.col("class") == F.col("_class")] if null else [])
-        t = F.broadcast(own(pool, null))
-        v = (v.join(t, reduce(lambda x, y: x & y, on), "left") if on else v.join(t, F.lit(True), "left")).withColumn(f"b{i}", F.when(F.col("_mid").isNotNull(), F.struct(F.col("_mid").alias("mid"), F.col("_half").alias("half")))).drop("_lang", "_class", "_mid", "_half")
-    v = v.withColumn("b", F.coalesce("b0", "b1", "b2", "b3")).withColumn("lower", F.col("b.mid") - F.col("b.half")).withColumn("upper", F.col("b.mid") + F.col("b.half"))
+        v = v.join(own, reduce(lambda x, y: x & y, on, F.lit(True)), "left").drop("_lang", "_class")
+        found.append(F.col(f"b{len(found)}"))
+    v = v.withColumn("b", F.coalesce(*found)).withColumn("lower", F.col("b.mid") - F.col("b.half")).withColumn("upper", F.col("b.mid") + F.col("b.half"))
     fits = F.coalesce(F.col("nll").between(F.col("lower"), F.col("upper")), F.lit(False))
-    v = scratch.save(v.select("h", "lang", "n_rows", *NAMES, "nll", "base_failed", "lower", "upper", (~F.col("base_failed") & fits).alias("kept")), "verdicts")
-    # rows of texts with very many copies meet their verdict by broadcast: there are few such texts
-    many = F.broadcast(v.where(F.col("n_rows") >= MANY))
-    on = lambda t: (F.col("d.h") == F.col(f"{t}.h")) & F.col("d.lang").eqNullSafe(F.col(f"{t}.lang"))
-    values = [*NAMES, "nll", "base_failed", "lower", "upper", "kept"]
-    rows = d.select("doc_id", "lang", "h", F.col("text").isNull().alias("none")).alias("d")
-    common = rows.join(many.alias("m"), on("m")).select("d.doc_id", "d.lang", "d.h", *(f"m.{c}" for c in values))
-    rare = rows.join(many.select("h", "lang").alias("m"), on("m"), "left_anti").where("not none").alias("d").join(v.where(F.col("n_rows") < MANY).alias("v"), on("v")).select("d.doc_id", "d.lang", "d.h", *(f"v.{c}" for c in values))
-    null = {**{n: F.lit(0).cast("long") for n in NAMES}, "nll": F.lit(0.0), "base_failed": F.lit(True), "lower": F.lit(None).cast("double"), "upper": F.lit(None).cast("double"), "kept": F.lit(False)}
-    none = rows.where("none").select("doc_id", "lang", "h", *(null[c].alias(c) for c in values))
-    return common.union(rare).union(none)
+    return v.select("key", "lang", *NAMES, "nll", "base_failed", "lower", "upper", (~F.col("base_failed") & fits).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -463,7 +331,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are kept."""
-    bad = judge(docs).where("not kept").select("doc_id", "h").distinct()
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    on = keyed["doc_id"].eqNullSafe(bad["doc_id"]) & (keyed["_h"] == bad["h"])
-    return keyed.join(bad, on, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    bad = judge(docs).where("not kept").select("doc_id", "key").distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]) & text_key(docs["text"]).eqNullSafe(bad["key"]), "left_anti")

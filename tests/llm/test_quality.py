@@ -31,25 +31,6 @@ def test_counts_equal_brute_force(spark):
     assert got == {i: brute(t) for i, t in enumerate(TEXTS)}
 
 
-def test_probabilities_sum_to_one_and_equal_the_formula():
-    rng = np.random.default_rng(0)
-    data = np.frombuffer(("the cat sat on the mat. " * 40 + "".join(rng.choice(list("abc "), 600))).encode(), np.uint8)
-    code, n = np.unique(Q.ngrams(data, np.array([0, len(data)])), return_counts=True)
-    m = Q.KneserNey(code, n)
-    for context in (0, int(code[5]) >> Q.BITS, int(code[60]) >> Q.BITS, 63 | 63 << 6 | 63 << 12):
-        p = np.exp(m.log_p((context << Q.BITS | np.arange(Q.SYMBOLS)).astype(np.uint32)))
-        assert abs(p.sum() - 1) < 1e-5
-    # the highest order by hand: discounted count plus back-off weight times the lower order
-    g = dict(zip(code.tolist(), n.tolist(), strict=True))
-    c = int(code[20])
-    d = m.discounts(n.astype(float))
-    same = [x for x in g if x >> Q.BITS == c >> Q.BITS]
-    total = sum(g[x] for x in same)
-    lower = math.exp(dict(zip(m.grams[3][0].tolist(), m.grams[3][1].tolist(), strict=True))[int(Q._hash(np.array([c & (1 << 18) - 1]), 3)[0])])
-    want = (g[c] - d[min(3, g[c])]) / total + sum(d[min(3, g[x])] for x in same) / total * lower
-    assert abs(math.exp(m.log_p(np.array([c], np.uint32))[0]) - want) < 1e-6
-
-
 def test_verdicts_keep_clean_text_and_drop_noise(spark):
     rng = np.random.default_rng(1)
     vocabulary = ["".join(rng.choice(list("aeiou" if j % 2 else "bcdfgst")) for j in range(rng.integers(2, 8))) for _ in range(400)]
@@ -59,50 +40,91 @@ def test_verdicts_keep_clean_text_and_drop_noise(spark):
     assert kept == set(range(200))
 
 
+def colliding():
+    """Two texts of one length that every polynomial hash modulo 2**64 takes for one."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_lines_and_words_are_compared_by_their_bytes(spark):
+    a, b = colliding()
+    rows = [(0, f"{a}\n{b}", "en"), (1, f"{a}\n{b}\n{a}", "en"), (2, f"x {a} y x {b} y", "en"), (3, f"x {a} y x {a} y", "en")]
+    got = {r.doc_id: (r.n_dup_lines, r.n_repeat_words) for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {0: (0, 0), 1: (1, 0), 2: (0, 0), 3: (0, 6)}
+
+
+def test_edge_rows(spark):
+    """Null in every column, a very long text, repeated rows, ties, and columns whose names clash with those made inside."""
+    rng = np.random.default_rng(8)
+    text = clean_texts(rng, 1)[0]
+    rows = [(None, None, None, "k"), (None, text, None, None), (1, text, "xx", "k"), (1, text, "xx", "k"), (2, text, "yy", None), (3, " ".join(clean_texts(rng, 400)), "xx", "k"), (4, "", "xx", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, key string").withColumn("_h", Q.F.lit(7)).withColumn("block", Q.F.lit(1)).withColumn("v", Q.F.lit("d"))
+    got = Q.judge(docs).collect()
+    assert sorted((str(r.doc_id), r.n_words) for r in got) == sorted((str(i), len((t or "").split())) for i, t, _, _ in rows)
+    kept = Q.stage(spark, docs, "")
+    assert kept.columns == docs.columns and {r["_h"] for r in kept.collect()} <= {7}
+    assert {r.doc_id for r in kept.collect()} <= {None, 1, 2, 3}
+
+
 def test_empty_table(spark):
     assert Q.judge(spark.createDataFrame([], "doc_id long, text string, lang string")).collect() == []
 
 
-def plain_nll(texts, leave_out=True):
-    """Of each text: the formula over dictionaries of whole characters, one text left out at a time."""
-    pad, top = "\0", Q.LENGTH
-    grams = [Counter((pad * (top - 1) + t)[i : i + top] for i in range(len(t))) for t in texts]
+def plain_model(texts):
+    """The formula over dictionaries: (probability of the last character of a string given those before it, characters)."""
+    top = Q.LENGTH
+    held = Counter(g for t in texts for g in {(Q.BEFORE + t)[i : i + top] for i in range(len(t))})
+    n = {top: Counter({g: c - 1 for g, c in held.items() if c > 1})}
+    for k in range(top - 1, 0, -1):
+        n[k] = Counter(g[1:] for g in n[k + 1])
+    d = {k: Q.discounts_of([0, *(sum(c == i for c in x.values()) for i in (1, 2, 3, 4))]) for k, x in n.items()}
+    base = 1 / (len(n[1]) + 1)
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return base
+        same = [x for y, x in n[k].items() if y[:-1] == g[:-1]]
+        if not same:
+            return p(g[1:])
+        c = n[k][g]
+        return (c - d[k][min(3, c)] + sum(d[k][min(3, x)] for x in same) * p(g[1:])) / sum(same)
+
+    return p, set(n[1])
 
-    def orders(counters):
-        n = {top: sum(counters, Counter())}
-        for k in range(top - 1, 0, -1):
-            n[k] = Counter(g[1:] for g in n[k + 1])
-        return n
 
-    everything = orders(grams)
-    d = {k: Q.KneserNey.discounts(np.array(list(n.values()))) for k, n in everything.items()}
-    base = 1 / (len(everything[1]) + 1)
-    out = []
-    for i, t in enumerate(texts):
-        n = orders([g for j, g in enumerate(grams) if j != i or not leave_out])
+def plain_nll(texts):
+    p, _ = plain_model(texts)
+    top = Q.LENGTH
+    return [-sum(math.log(p((Q.BEFORE + t)[j : j + top])) for j in range(len(t))) / len(t) for t in texts]
+
+
+def test_probabilities_sum_to_one():
+    rng = np.random.default_rng(0)
+    p, known = plain_model([" ".join(rng.choice(["the", "cat", "sat", "on", "mat"], 9)) for _ in range(20)])
+    for context in ("the ", "\n\n\n\n", "xxxx", " sat"):
+        assert abs(sum(p(context + c) for c in known) + p(context + "\0") - 1) < 1e-9
 
-        def p(g, n=n):
-            k = len(g)
-            if not k:
-                return base
-            same = [x for y, x in n[k].items() if y[:-1] == g[:-1]]
-            if not same:
-                return p(g[1:])
-            c = n[k][g]
-            return (c - d[k][min(3, c)] + sum(d[k][min(3, x)] for x in same) * p(g[1:])) / sum(same)
 
-        out.append(-sum(math.log(p((pad * (top - 1) + t)[j : j + top])) for j in range(len(t))) / len(t))
-    return out
+def test_a_text_is_no_witness_for_itself():
+    rng = np.random.default_rng(6)
+    texts = clean_texts(rng, 20)
+    p, _ = plain_model([*texts, "qqqq qqqq " * 50])
+    q, _ = plain_model([*texts, "zzzzzz"])
+    assert p("\nqqqq"[-Q.LENGTH :]) == q("\nqqqq"[-Q.LENGTH :])
 
 
 def test_likelihood_of_whole_characters_equals_the_formula(spark, monkeypatch):
     monkeypatch.setattr(Q, "BLOCK", 300)  # several blocks
+    monkeypatch.setattr(Q, "PIECE", 200)
     rng = np.random.default_rng(2)
     words = ["Дом", "дом", "The", "the", "日本", "語", "née", "cat", "😀"]
     texts = [" ".join(rng.choice(words, 25)) for _ in range(12)] + ["Zq"]
     rows = [(i, t, "xx") for i, t in enumerate(texts)]
     got = {r.doc_id: r.nll for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
-    for i, want in enumerate(plain_nll(texts, True)):
+    for i, want in enumerate(plain_nll(texts)):
         assert abs(got[i] - want) < 1e-9
 
 
