@@ -78,3 +78,11 @@ def text_key(text: Column) -> Column:
 def only(df: DataFrame, *cols: str) -> DataFrame:
     """These columns alone, so that further ones with clashing names can't matter."""
     return df.select(*(F.col(f"`{c}`") for c in cols))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

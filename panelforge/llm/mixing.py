@@ -1,8 +1,8 @@
 """Mixing sources to target weights by entropy balancing.
 
-Every document gets a rate of use r. Among all rates with r <= LIMIT under which the words of each source sum to its target, the ones nearest to 1 in relative entropy are r = min(LIMIT, exp(lambda * size / mean size)), with one lambda a source. The convex dual in lambda is solved by Newton steps in the logarithm of the sum, kept inside a bracket. The sums run over a table of (source, size, count), which is grouped once; no row of a document is touched by a step. Rates are then rounded to copies by systematic sampling along the sizes of a source, in whole numbers of 2**-20, so reruns agree; the last few words are set right by one more or one less copy of the documents whose sizes fit best.
+Every document gets a rate of use r. Among all rates with r <= LIMIT under which the words of each source sum to its target, the ones nearest to 1 in relative entropy are r = min(LIMIT, exp(lambda * size / mean size)), with one lambda a source. The convex dual in lambda is solved by Newton steps in the logarithm of the sum, kept inside a bracket. The sums run over a table of (source, size, count), which is grouped once; no row of a document is touched by a step. Rates are then rounded to copies by systematic sampling along the sizes of a source, in whole numbers of 2**-20, so reruns agree; the last few words are set right by one more or one less copy of single documents whose sizes fit best, never past 0 or LIMIT, and only if that brings the source nearer to its target. Every row has a number of its own, written once, so that equal rows are told apart.
 
-Results in special cases: a null source is a source (last in order); null or empty text has size 0 and takes no words; a source without words has target 0; an empty table gives no rows; repeated rows count each for itself.
+Results in special cases: a null source is a source (last in order); null or empty text has size 0 and takes no words; a source without words has target 0; an empty table gives no rows; repeated rows count each for itself and may be taken unequally often; of equal rows it is open which gets a copy more.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, Scratch, only, table
+from .common import WORD, Scratch, only, table, unused
 
 #: Weights of the sources in order, repeating; most copies of a document; whole numbers that make one copy.
 WEIGHTS, LIMIT, ONE = (5, 2, 1), 3, 1 << 20
@@ -60,12 +60,13 @@ def solve(sizes: DataFrame, goals: DataFrame, scratch: Scratch, limit: int = LIM
     return lam.drop("off", "lo", "hi").withColumn("lam", F.round("lam", 9))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, cell_rows: int = 20_000) -> DataFrame:
-    """doc_id, row_hash, source, size, source_size, target, rate, copies, taken of all rows; row_hash tells rows of one doc_id apart, up to equal rows."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, cell_rows: int = 20_000, row: str | None = None) -> DataFrame:
+    """row, doc_id, source, size, source_size, target, rate, copies, taken of all rows. row: a column with a number for each row; without one rows are numbered here."""
     scratch = Scratch(docs.sparkSession, "mix")
-    d = only(docs, "doc_id", "text", "source")
+    d = only(docs, "doc_id", "text", "source", *([row] if row else []))
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = scratch.save(d.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "text").alias("row_hash")), "sizes")
+    number = F.col(f"`{row}`") if row else F.monotonically_increasing_id()
+    rows = scratch.save(d.select(number.alias("row"), "doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "text").alias("row_hash")), "sizes")
     sizes = scratch.save(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "hist")
     lam = solve(sizes, targets(sizes, weights, limit), scratch, limit)
     cells = max(1, -(-rows.count() // (cell_rows * 16)))
@@ -73,31 +74,31 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT,
     rated = rows.alias("r").join(lam.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.*", "source_size", "target", r.alias("rate"))
     whole = F.floor(F.col("rate"))
     rated = rated.withColumn("whole", whole).withColumn("part", F.round((F.col("rate") - whole) * ONE).cast("long"))
-    # parts of a source: an eighth of an octave of sizes, and a hash
+    # parts of a source: an eighth of an octave of sizes, and a hash; a row's number only orders equal rows, so that reruns agree
     rated = rated.withColumn("band", F.floor(F.log2(F.col("size") + 1) * 8).cast("int")).withColumn("cell", F.pmod(F.xxhash64("row_hash"), F.lit(cells)).cast("int"))
     part = scratch.save(rated, "rated")
     totals = part.groupBy("source", "band", "cell").agg(F.sum("part").alias("all"))
     before = totals.withColumn("before", F.coalesce(F.sum("all").over(Window.partitionBy("source").orderBy("band", "cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("all")
-    order = Window.partitionBy("source", "band", "cell").orderBy("size", "row_hash", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("source", "band", "cell").orderBy("size", "row_hash", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
     summed = part.withColumn("upto", F.sum("part").over(order))
     on = F.col("s.source").eqNullSafe(F.col("b.source")) & (F.col("s.band") == F.col("b.band")) & (F.col("s.cell") == F.col("b.cell"))
     upto = F.col("upto") + F.col("before") + ONE // 2
     more = F.floor(upto / ONE) - F.floor((upto - F.col("part")) / ONE)
     out = summed.alias("s").join(before.alias("b"), on).withColumn("copies", F.least(F.lit(limit), F.col("whole") + more).cast("int"))
-    out = scratch.save(out.select("doc_id", "row_hash", "s.source", "size", "source_size", "target", "rate", "copies"), "rounded")
+    out = scratch.save(out.select("row", "doc_id", "row_hash", "s.source", "size", "source_size", "target", "rate", "copies"), "rounded")
     for _ in range(3):
-        out = scratch.save(_nearer(out, limit), "nearer")
+        out = scratch.save(_nearer(out, limit, scratch), "nearer")
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def _nearer(rows: DataFrame, limit: int) -> DataFrame:
-    """One copy more or less of one document of each source, if that brings the source nearer to its target."""
-    miss = rows.groupBy("source").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("miss"))
+def _nearer(rows: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
+    """One copy more or less of one row of each source, if that brings the source nearer to its target."""
+    miss = scratch.save(rows.groupBy("source").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("miss")), "miss")
     fits = (F.col("size") > 0) & (F.col("size") < 2 * F.abs("miss")) & F.when(F.col("miss") > 0, F.col("copies") < limit).otherwise(F.col("copies") > 0)
     pick = rows.alias("r").join(miss.alias("m"), F.col("r.source").eqNullSafe(F.col("m.source"))).where(fits).groupBy("r.source")
-    pick = pick.agg(F.min(F.struct(F.abs(F.abs("miss") - F.col("size")).alias("off"), "row_hash", "doc_id", F.signum("miss").cast("int").alias("step"))).alias("p"))
-    hit = F.col("r.source").eqNullSafe(F.col("p.source")) & F.col("r.doc_id").eqNullSafe(F.col("p.p.doc_id")) & (F.col("r.row_hash") == F.col("p.p.row_hash"))
-    return rows.alias("r").join(F.broadcast(pick.alias("p")), hit, "left").select("r.doc_id", "r.row_hash", "r.source", "size", "source_size", "target", "rate", (F.col("copies") + F.coalesce(F.col("p.p.step"), F.lit(0))).alias("copies"))
+    pick = pick.agg(F.min(F.struct(F.abs(F.abs("miss") - F.col("size")).alias("off"), "row_hash", "doc_id", "row", F.signum("miss").cast("int").alias("step"))).alias("p"))
+    pick = scratch.save(pick.select("p.row", "p.step"), "pick")  # a row for each source; its size is known when it is joined
+    return rows.join(pick, "row", "left").select("row", "doc_id", "row_hash", "source", "size", "source_size", "target", "rate", (F.col("copies") + F.coalesce("step", F.lit(0))).alias("copies"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,8 +107,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents, each as often as the mix takes it."""
-    copies = mix(docs).groupBy("doc_id", "row_hash").agg(F.max("copies").alias("_copies"))
-    keyed = docs.withColumn("_hash", F.xxhash64("doc_id", "text"))
-    on = keyed["doc_id"].eqNullSafe(copies["doc_id"]) & (keyed["_hash"] == copies["row_hash"])
-    taken = keyed.join(copies.where("_copies > 0"), on).select(*(keyed[f"`{c}`"] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
-    return taken.drop("_copy")
+    scratch = Scratch(spark, "mixed")
+    row, copy = unused(docs, "row"), unused(docs, "copy")
+    numbered = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    taken = mix(numbered, row=row).where("copies > 0").select(F.col("row").alias("number"), "copies")
+    every = numbered.join(taken, numbered[row] == taken["number"])
+    return every.select(*(numbered[f"`{c}`"] for c in docs.columns), F.explode(F.sequence(F.lit(1), taken["copies"])).alias(copy)).drop(copy)

@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from panelforge.llm.mixing import mix, stage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -66,3 +68,32 @@ def test_stage_repeats_documents(spark):
     copies = {r.doc_id: r.copies for r in mix(df).collect()}
     got = stage(spark, df, "").groupBy("doc_id").count().collect()
     assert {r["doc_id"]: r["count"] for r in got} == {d: c for d, c in copies.items() if c}
+
+
+def test_repeated_rows_of_any_sizes(spark):
+    """Equal rows whose copies differ: a step moves one copy, and the mix is no further off than one document's size."""
+    rng = random.Random(8)
+    for trial, other in enumerate((100, 160, 190, 220, None, None)):
+        rows = [(1, "w " * 3, "a")] * 20 + [(2, "w " * 40, "a"), (3, "w " * (other or 1), "b")]
+        if other is None:
+            rows = [(rng.randint(0, 5), "w " * rng.choice([1, 3, 3, 3, 17, 40]), rng.choice("abc")) for _ in range(150 * trial)]
+        out = mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+        assert len(out) == len(rows) and all(0 <= r.copies <= 3 and r.taken == r.copies * r.size for r in out)
+        want = targets({s: sum(r.size for r in out if r.source == s) for s in {r.source for r in out}})
+        for s, w in want.items():
+            sizes = [r.size for r in out if r.source == s]
+            assert abs(sum(r.taken for r in out if r.source == s) - w) <= max(0.01 * w, min(sizes)), (trial, s, w)
+
+
+def test_stage_takes_what_the_mix_says(spark):
+    rng = random.Random(12)
+    rows = [(rng.randint(0, 3), "w " * rng.choice([1, 3, 3, 17]), rng.choice("ab"), 0, 0, 0) for _ in range(200)]
+    rows += [(None, None, None, 1, 1, 1)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int, row int, _hash int").withColumn("row_", F.lit("x"))
+    got = stage(spark, df, "")
+    assert got.columns == df.columns
+    taken, want = (sorted(((r[0], r[1], r[2]), r[3]) for r in x) for x in (
+        [(str(r.doc_id), r.text, str(r.source), 1) for r in got.collect()],
+        [(str(r.doc_id), "w " * r.size, str(r.source), 1) for r in mix(df).collect() for _ in range(r.copies) if r.size],
+    ))
+    assert [x for x in taken if x[0][1]] == want
