@@ -2,9 +2,9 @@
 
 An item's windows of `window` words are sets of word shingles, and a document holds a window only if it holds all of them. So one shingle is a sufficient prefix: the rarest over all documents. Shingles of the documents that occur in the benchmark at all are found by one scan, and counted; each window then looks its rarest shingle up among them, at the one place in the document where the window could begin; what is found is confirmed by comparing all words of the window. Windows that need a shingle no document has are dropped unseen.
 
-The benchmark's shingles are broadcast only where their number is at most BROADCAST_ROWS; beyond it the join is a shuffle.
+The benchmark's shingles are broadcast where their bytes, which are counted, are at most BROADCAST_BYTES; beyond it the join is a shuffle.
 
-Results in special cases: a null text has no words; an item with fewer words than a window is one window, one without words none; rows that repeat a doc_id each get their row; ids may be null; empty tables give no rows and no hits.
+Results in special cases: a null text has no words; an item with fewer words than a window is one window, one without words none; rows that repeat a doc_id each get their row; a null doc_id is an id, and items whose id is null count as one item, written as nothing among the ids; empty tables give no rows and no hits.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from .common import Scratch, ascii_lower, only, table
 #: What separates words: ASCII but for digits and small letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NOT_SEPARATORS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 64 << 20
 SHINGLE = 3
 
 
@@ -49,11 +49,11 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 10) -> tuple[DataFrame
     d = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     rows = d.select("doc_id", "h", F.coalesce(F.regexp_count("text", F.lit(NOT_SEPARATORS)), F.lit(0)).cast("long").alias("n_words"))
     known = scratch.save(win.select("k", F.explode("s").alias("s")).distinct(), "known")
-    kinds, n = [r.k for r in known.select("k").distinct().collect()], known.count()
+    sizes = {r.k: r.b for r in known.groupBy("k").agg(F.sum(F.octet_length("s") + 32).alias("b")).collect()}
     seen = None
-    for k in kinds:
+    for k in sorted(sizes):
         probe = known.where(F.col("k") == k).select("s")
-        probe = F.broadcast(probe) if n <= BROADCAST_ROWS else probe
+        probe = F.broadcast(probe) if sum(sizes.values()) <= BROADCAST_BYTES else probe
         # the words stand in a column of their own: an expression inside transform() would be run again for each word
         part = d.select("doc_id", "h", words(F.col("text")).alias("w")).select("doc_id", "h", F.posexplode(_shingles(F.col("w"), k)).alias("at", "s")).join(probe, "s").withColumn("k", F.lit(k))
         seen = part if seen is None else seen.unionByName(part)
@@ -86,10 +86,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     before = F.max("end").over(Window.partitionBy("doc_id", "h").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1))
     new = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("begin"), F.coalesce(before, F.lit(0))))
     hit = spans.withColumn("new", new).groupBy("doc_id", "h").agg(F.sum("new").cast("long").alias("n_hit"))
-    of = sure.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    of = sure.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("item_id"))).alias("items"))
     on = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.h") == F.col(f"{b}.h"))
     out = rows.alias("d").join(hit.alias("i"), on("d", "i"), "left").join(of.alias("o"), on("d", "o"), "left")
-    items_ = F.coalesce("items", F.array().cast("array<string>"))
+    items_ = F.coalesce(F.transform("items", lambda x: F.coalesce(x["item_id"], F.lit(""))), F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select("d.doc_id", "d.h", "n_words", n_hit.alias("n_hit"), F.size(items_).cast("long").alias("n_items"), F.sha2(F.array_join(items_, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
@@ -102,9 +102,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without those that hold a window of an item."""
     _, sure = hits(docs, table(spark, sf_dir, "benchmark"))
     bad = sure.select("doc_id", "h").distinct()
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    on = keyed["doc_id"].eqNullSafe(bad["doc_id"]) & (keyed["_h"] == bad["h"])
-    return keyed.join(bad, on, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["h"]), "left_anti")
 
 
 ORACLE = r"""

@@ -62,3 +62,10 @@ def test_special_cases(spark):
 def test_empty_tables(spark):
     assert result(spark, [], [(1, "a b")]) == []
     assert result(spark, [(1, "a b")], []) == brute([(1, "a b")], [])
+
+
+def test_items_without_an_id(spark):
+    docs = spark.createDataFrame([(1, "x one two y"), (None, "one two"), (2, "y")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "one two"), (None, "two"), ("a", "one two")], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontaminate(docs, items).collect()}
+    assert got == {1: (2, 2, True), None: (2, 2, True), 2: (0, 0, False)}
