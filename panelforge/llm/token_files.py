@@ -1,6 +1,6 @@
 """Token ids as binary files, coded by canonical length-limited Huffman codes.
 
-Encoding. Pieces of a text that begin at a space are encoded by the tokenizer each on its own and remembered: the tokenizer's rule splits a text before such a space too, unless white space comes before it, and pieces where that matters are found and their text encoded whole. So a piece that occurs again costs a look-up.
+Encoding. Pieces of a text that begin at a space are encoded by the tokenizer each on its own and remembered: the tokenizer's rule splits a text before such a space too, unless white space comes before it, and pieces where that matters are found and their text encoded whole. Inside a piece the same holds at a line feed between two words and at the marks behind a word. So a piece that occurs again costs a look-up, and a new one that is a known word with a mark little more. A worker remembers MEMORY pieces; those it has not met for half as many are forgotten.
 
 Codes. The counts of all ids are summed over the corpus; package-merge gives code lengths of at most LIMIT bits, canonical codes follow from the lengths. One table serves all files.
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from .common import Scratch, only, table
 
 MAGIC, VERSION = b"PFHC", 1
 #: Longest code, ids in a block, bytes of ids in a part, pieces that a worker remembers.
-LIMIT, BLOCK, PART_BYTES, MEMORY = 20, 128, 8 << 20, 2_000_000
+LIMIT, BLOCK, PART_BYTES, MEMORY = 20, 128, 8 << 20, 1_200_000
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -44,6 +45,9 @@ class Encoder:
     """Ids of texts as bytes of little-endian numbers of type `kind`, by the tokenizer of a file."""
 
     SEPARATOR = "<|endoftext|>"  # a special token: never part of a piece's ids
+    SPACE = "\u0120"  # how a byte-level vocabulary writes a space
+    #: A word of letters with marks behind it; the tokenizer's rule ends a run of letters there. An apostrophe may begin an ending and is no such mark.
+    MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
 
     def __init__(self, path: str, memory: int = MEMORY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,38 +56,73 @@ class Encoder:
         self.tokenizer, self.memory = Tokenizer.from_file(path), memory
         self.separator = self.tokenizer.token_to_id(self.SEPARATOR)
         self.kind = id_kind(self.tokenizer.get_vocab_size(with_added_tokens=True))
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(names.values()) + 1, bool)
+        self.spaced[[i for name, i in names.items() if name[:1] == self.SPACE]] = True
+        # ids of pieces behind a space, by the piece without it; those not used since the half of the memory was last full; ids of parts without a space
         self.known: dict[str, bytes | int] = {}
+        self.before: dict[str, bytes | int] = {}
+        self.bare: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _parts(self, piece: str) -> tuple[list[str], list[str]]:
+        """(the part behind the space and what follows it, in order) of a piece: lines, the line feeds between them, and marks behind a word are each encoded alone by the tokenizer's rule."""
+        if piece.isalpha():
+            return [piece], []
+        lines = piece.split("\n")
+        if len(lines) > 1 and any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
+            lines = [piece]
+        out: list[str] = []
+        for x in lines:
+            m = self.MARKED.fullmatch(x)
+            out += ["\n", *(m.groups() if m else (x,))]
+        return out[1:2], out[2:]
+
+    def _behind_space(self, parts: list[str]) -> Iterator[bytes]:
+        """Ids of each part behind a space. They are encoded as one text, in which a token that begins with a space begins a part."""
+        for lo in range(0, len(parts), 4096):
+            yield from self._cut(" " + " ".join(parts[lo : lo + 4096]), lambda ids: np.flatnonzero(self.spaced[ids])[1:], 0)
+
+    def _alone(self, parts: list[str]) -> Iterator[bytes]:
+        """Ids of each part without a space before it."""
+        for lo in range(0, len(parts), 4096):
+            yield from self._cut(self.SEPARATOR.join(parts[lo : lo + 4096]), lambda ids: np.flatnonzero(ids == self.separator), 1)
+
+    def _cut(self, text: str, at, skip: int) -> Iterator[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+        raw, start, w = ids.tobytes(), 0, ids.itemsize
+        for end in [*at(ids).tolist(), len(ids)]:
+            yield raw[w * start : w * end]
+            start = end + skip
+
+    def _learn(self, pieces: set[str]) -> None:
         """Pieces without the space they begin with. What ends in white space can't be told from what follows; it is marked by 0."""
-        if len(self.known) + len(pieces) > self.memory:
-            self.known.clear()
-        plain = []
+        known, plan = self.known, {}
         for p in pieces:
-            if not p or p[-1].isspace():
-                self.known[p] = 0
+            if (old := self.before.get(p)) is not None:
+                known[p] = old
+            elif not p or p[-1].isspace():
+                known[p] = 0
             elif self.SEPARATOR in p:
-                self.known[p] = self.whole(" " + p)
+                known[p] = self.whole(" " + p)
             else:
-                plain.append(p)
-        for lo in range(0, len(plain), 4096):
-            some = plain[lo : lo + 4096]
-            ids = np.array(self.tokenizer.encode(" " + f"{self.SEPARATOR} ".join(some), add_special_tokens=False).ids, self.kind)
-            ends = np.append(np.flatnonzero(ids == self.separator), len(ids)).tolist()
-            raw, start, w = ids.tobytes(), 0, ids.itemsize
-            for p, end in zip(some, ends, strict=True):
-                self.known[p] = raw[w * start : w * end]
-                start = end + 1
+                plan[p] = self._parts(p)
+        first = list({x for head, _ in plan.values() for x in head if x not in known})
+        known.update(zip(first, self._behind_space(first), strict=True) if first else ())
+        bare = list({x for _, rest in plan.values() for x in rest if x not in self.bare})
+        self.bare.update(zip(bare, self._alone(bare), strict=True) if bare else ())
+        for p, (head, rest) in plan.items():
+            if rest:
+                known[p] = known[head[0]] + b"".join(map(self.bare.__getitem__, rest))
 
     def _joined(self, first: str, rest: list[str]) -> bytes | None:
-        """None if a piece isn't known or can't stand alone."""
+        """None if a piece can't stand alone."""
         if rest and first[-1:].isspace():
             return None
         try:
-            return (self.whole(first) if first else b"") + b"".join(map(self.known.get, rest))
+            return (self.whole(first) if first else b"") + b"".join(map(self.known.__getitem__, rest))
         except TypeError:
             return None
 
@@ -92,15 +131,16 @@ class Encoder:
         for lo in range(0, len(texts), 64):
             some = texts[lo : lo + 64]
             split = [t.split(" ") for t in some]
-            done = [self._joined(w[0], w[1:]) for w in split]
-            again = [i for i, x in enumerate(done) if x is None]
-            new = {p for i in again for p in split[i][1:] if p not in self.known}
+            first = [w.pop(0) for w in split]
+            if len(self.known) > self.memory // 2:
+                self.known, self.before = {}, self.known
+                self.bare.clear()
+            new = set().union(*split).difference(self.known)
             if new:
-                self._learn(list(new))
-            for i in again:
-                joined = self._joined(split[i][0], split[i][1:])
-                done[i] = self.whole(some[i]) if joined is None else joined
-            out += done
+                self._learn(new)
+            for text, f, rest in zip(some, first, split, strict=True):
+                joined = self._joined(f, rest)
+                out.append(self.whole(text) if joined is None else joined)
         return out
 
 

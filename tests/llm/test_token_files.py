@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -49,6 +50,18 @@ def test_pieces_give_what_the_whole_text_gives():
     assert e.encode(ODD) == [e.whole(t) for t in ODD] == e.encode(ODD)
 
 
+def test_thousands_of_texts_of_all_kinds_of_characters():
+    rng = random.Random(9)
+    space = [" ", " ", " ", " ", " ", "\n", "\n", "\t", "\r\n", "\x0b", "\x0c", "\x1c", "\x85", "\u00a0", "\u2003", "\u3000", "\u200b", "  ", "\n\n"]
+    words = ["the", "The", "it's", "they'll", "don't,", "x'", "(a)", "end.", "end...", "#$%", "a-b", "3.14", "v2", "é", "ñandú!", "Дом", "日本", "語。", "ǅ", "ª", "²", "_", "a_b", "\u0120", "\u0301", "😀", "<|endoftext|>", "<|", "|>", "a,b", "'s", "'", ".s", "ſ"]
+    letters = "abcdeéñÀZ"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(1, 8)))
+    texts = ["".join((rng.choice(words) if rng.random() < 0.4 else word()) + (rng.choice(space) if rng.random() < 0.9 else "") for _ in range(rng.randint(0, 30))) for _ in range(6000)]
+    for memory in (60, 2000, 1_000_000):
+        e = Encoder(vocabulary_path(), memory=memory)
+        assert e.encode(texts) == [e.whole(t) for t in texts]
+
+
 def test_documents_come_back_from_the_files(spark):
     rows = [(i * 7 % 31, t) for i, t in enumerate(ODD)] + [(40, None), (2, "twice"), (2, "twice"), (None, "no id")]
     e = Encoder(vocabulary_path())
