@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, bands:
     d = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = scratch.save(d.mapInArrow(_signed(words, bands, rows), "doc_id long, n long, digest binary, keys array<long>"), "signed")
     whole = signed.where("n > 0 and doc_id is not null")
-    reps = whole.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    reps = scratch.save(whole.groupBy("digest").agg(F.min("doc_id").alias("rep")), "reps")  # written before, so that Spark can split the join where a third of the rows have one digest
     same = scratch.save(whole.select("doc_id", "digest").join(reps, "digest").select("doc_id", "rep").distinct(), "same")
     nodes = whole.join(same.where("doc_id = rep").select("doc_id").distinct(), "doc_id")
     # a key holds its band; a bucket that only one document is in goes at once
@@ -232,3 +232,18 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents but for those of a group whose smallest id is another."""
     gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+
+
+#: Shingles as lists of words; links by the number of shingles in common; components by walking the links.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN w ELSE w[i : i + 2] END AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+walk AS (SELECT doc_id, doc_id AS node FROM n UNION SELECT walk.doc_id, e.b FROM walk JOIN e ON e.a = walk.node),
+comp AS (SELECT doc_id, min(node) AS m FROM walk GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(comp.m, d.doc_id)::BIGINT AS component_id, d.doc_id = coalesce(comp.m, d.doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)
+"""

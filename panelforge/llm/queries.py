@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": decontaminate.ORACLE}
+    return {"op7_near_dup": near_dup.ORACLE, "op8_decontaminate": decontaminate.ORACLE, "op10_suffix_dedup": suffix_dedup.ORACLE}

@@ -296,3 +296,18 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("removed")
+
+
+#: Every window of 200 bytes of every text, in hexadecimal digits, cut from pieces of 699 bytes; those that stand twice; the runs that they cover; what is left.
+ORACLE = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+part AS (SELECT r, o, substr(h, 2 * o + 1, 2 * 699) AS p FROM (SELECT r, h, unnest(generate_series(0, len(h) // 2 - 200, 500)) AS o FROM d WHERE len(h) >= 400)),
+w AS (SELECT r, o + j AS i, md5(substr(p, 2 * j - 1, 400)) AS m FROM (SELECT r, o, p, unnest(generate_series(1, least(500, len(p) // 2 - 199))) AS j FROM part)),
+twice AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+hit AS (SELECT r, i, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 1 ELSE 0 END AS new FROM w SEMI JOIN twice USING (m)),
+run AS (SELECT r, min(i) AS a, max(i) + 199 AS b FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM hit) GROUP BY r, g),
+cut AS (SELECT r, sum(b - a + 1) AS gone, count(*) AS spans, string_agg(substr(h, 2 * before + 1, 2 * (a - 1 - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+        FROM (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM run) JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
