@@ -76,9 +76,9 @@ def ewm_last(df: DataFrame, key: str, value: str, span: float) -> DataFrame:
 
 
 def ewm_demean(df: DataFrame, key: str, value: str, span: float) -> DataFrame:
-    """Less the running mean; the first time goes."""
-    m = ewm_mean(df, key, value, span, name="_m")
-    return m.withColumn(value, F.col(value) - F.col("_m")).drop("_m").where(F.col("t") > df.agg(F.min("t")).first()[0])
+    """Less the running mean; the first time of each panel goes."""
+    m = ewm_mean(df, key, value, span, name="_m").join(df.groupBy("panel").agg(F.min("t").alias("_first")), "panel")
+    return m.withColumn(value, F.col(value) - F.col("_m")).where(F.col("t") > F.col("_first")).drop("_m", "_first")
 
 
 def ewm_covariance(a: np.ndarray, decay: float, gap: Gap = Gap.FFILL, start: np.ndarray | None = None, is_corr: bool = False) -> np.ndarray:

@@ -69,3 +69,16 @@ def test_bad_parameters():
         with pytest.raises(ValueError):
             FactorModel(**bad)
     assert FactorModel().with_params(lam=0.5).params()["lam"] == 0.5
+
+
+def test_running_means_drop_the_first_time_of_each_panel(spark):
+    from panelforge.operators.ewm import ewm_demean
+
+    rows = [("p", "a", t, float(t * t)) for t in range(1, 6)] + [("q", "a", t, float(t)) for t in range(4, 9)]
+    got = ewm_demean(spark.createDataFrame(rows, "panel string, asset string, t int, y double"), "asset", "y", 3).collect()
+    assert sorted((r.panel, r.t) for r in got) == [("p", t) for t in range(2, 6)] + [("q", t) for t in range(5, 9)]
+    state, want = {"p": 1.0, "q": 4.0}, {}
+    for p, _, t, y in rows:
+        state[p] += 0.5 * (y - state[p])
+        want[p, t] = y - state[p]
+    assert all(abs(r.y - want[r.panel, r.t]) < 1e-12 for r in got)
