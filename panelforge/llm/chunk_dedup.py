@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import bytescan as B
 from .common import Scratch, only, table
 
-WINDOW, MASK, LEAST, MOST, RUN = 32, 0xF << 27, 16, 128, 96
+WINDOW, MASK, LEAST, MOST, RUN = 32, 0x1F << 26, 16, 128, 96
 
 
 def ends_in(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -63,28 +63,30 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(starts):
                 continue
             raw = memoryview(np.ascontiguousarray(data))
-            digest = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+            digest = np.frombuffer(b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64)
             text = np.searchsorted(offs, starts, "right") - 1
             place = (starts - offs[text]) << 8 | (ends - starts)
             rows = pa.array(text + lo)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place), pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(starts), [None, pa.py_buffer(digest)]).cast(pa.binary())], names=["doc_id", "key", "place", "digest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place), pa.array(digest[::2]), pa.array(digest[1::2])], names=["doc_id", "key", "place", "d1", "d2"])
     B.give_back()
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_copied (bytes in runs that stand elsewhere too), n_removed (those of them that do not stay), repeats, removed (start and end of each, in turn) of all rows.
 
-    Chunks are written once. Of those with one digest a sum finds the first and the last; a digest in one place only is done with. The first place of the others comes back to the chunks by a join that Spark can split where a digest is very common.
+    Sums find the first and the last place of each digest, in each task before anything is sent; a digest in one place only is done with. The first places of the others are written, so that Spark can split their join with the chunks where a digest is very common.
     """
     scratch = Scratch(docs.sparkSession, "chunks")
     d = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").cast("binary"), 256).alias("hex"), "text")
     d = d.select("doc_id", F.substring(F.unhex("hex"), 1, 16).alias("key"), "text")
-    rows = scratch.save(d.where("text is not null").mapInArrow(_chunks, "doc_id long, key binary, place long, digest binary"), "chunks")
-    # the order of copies: nulls first, then doc_id and place
-    order = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("doc_id"), F.col("place"))
-    copies = scratch.save(rows.groupBy("digest").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first < last").drop("last"), "first")
+    rows = d.where("text is not null").mapInArrow(_chunks, "doc_id long, key binary, place long, d1 long, d2 long")
+    # the order of copies: doc_id and place as one number, nulls first
+    order = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("decimal(19,0)").cast("decimal(38,0)") * F.lit(1 << 40).cast("decimal(13,0)") + F.col("place").cast("decimal(19,0)")
+    order = order.cast("decimal(38,0)")
+    copies = scratch.save(rows.groupBy("d1", "d2").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first < last").drop("last"), "first")
     scratch.forget_shuffles()
-    hit = scratch.save(rows.join(copies, "digest").select("key", F.shiftright("place", 8).cast("int").alias("a"), F.col("place").bitwiseAND(255).cast("int").alias("n"), (order > F.col("first")).alias("later")), "copies")
+    hit = rows.join(copies, ["d1", "d2"]).select("key", F.shiftright("place", 8).cast("int").alias("a"), F.col("place").bitwiseAND(255).cast("int").alias("n"), (order > F.col("first")).alias("later"))
+    hit = scratch.save(hit, "copies")
     scratch.forget_shuffles()
     runs = scratch.save(hit.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("a", "n", "later"))).alias("c")).mapInArrow(_runs, "key binary, n_copied long, n_removed long, removed array<int>"), "runs")
     n = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
