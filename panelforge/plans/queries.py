@@ -301,10 +301,16 @@ ONE = """,
 o AS (SELECT asset, sum(x * y) / sum(x * x) AS beta, avg(y) AS my, avg(x) AS mx, sum(y * y) AS yy, sum(x * y) AS xy FROM yd JOIN (SELECT t, x - avg(x) OVER () AS x FROM x WHERE factor = 'R0') USING (t) GROUP BY 1)"""
 
 
-def _one_factor(spark, sf):
+def _one_factor(spark, sf, lam=0.0):
     x, y, k = panels(spark, sf)
     x = x.where("factor = 'R0'")
-    return fit(FactorModel(Model.LASSO, 0.0, warmup=None), x, y), x, y, k
+    return fit(FactorModel(Model.LASSO, lam, warmup=None), x, y), x, y, k
+
+
+#: With a penalty the slope is drawn to 0 by lam / 2 over the factor's sum of squares at the response's times, divided by all times of the panel.
+@query(with_base(ONE, "SELECT asset, round(sign(beta) * greatest(0, abs(beta) - 0.02 / 2 / (sxx / (SELECT count(DISTINCT t) FROM x))), 6) + 0.0 AS beta FROM o JOIN (SELECT asset, sum(x * x) AS sxx FROM yd JOIN (SELECT t, x - avg(x) OVER () AS x FROM x WHERE factor = 'R0') USING (t) GROUP BY 1) USING (asset)"))
+def fit_one_factor_lasso(spark, sf):
+    return _one_factor(spark, sf, 0.02)[0].coef.select("asset", rounded("beta").alias("beta"))
 
 
 @query(with_base(ONE, "SELECT asset, round(beta, 6) + 0.0 AS beta, round(1 - (yy - 2 * beta * xy + beta * beta * xx) / sst, 6) + 0.0 AS r2 FROM (SELECT o.*, (SELECT 1) AS one, e.xx, e.sst, e.my AS mmy FROM o JOIN (SELECT asset, sum(x * x) + 0 AS xx, sum(y * y) - count(*) * avg(y) * avg(y) AS sst, avg(y) AS my FROM yd JOIN (SELECT t, x - avg(x) OVER () AS x FROM x WHERE factor = 'R0') USING (t) GROUP BY 1) e USING (asset))"))
