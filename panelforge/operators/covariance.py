@@ -44,6 +44,19 @@ def keep_assets(table: DataFrame, assets: DataFrame, column: str = "asset") -> D
     return table.join(m, column).drop(column).withColumnRenamed("new", column).select(table.columns)
 
 
+def factor_variances(sigma: DataFrame) -> DataFrame:
+    """(panel, as_of, factor, var): the diagonal at every date."""
+    return sigma.where("f = g").select(*KEY, F.col("f").alias("factor"), F.col("cov").alias("var"))
+
+
+def snapshot(betas: DataFrame, sigma: DataFrame, specific: DataFrame, factors: list[str], alpha: DataFrame | None = None) -> DataFrame:
+    """A row for each asset at each date: a column beta_<factor> for each factor, r2, alpha, insample_alpha, variances and volatilities. specific: (.., asset, var, r2, insample_alpha); alpha: (.., asset, alpha), the alpha of the fit without."""
+    b = betas.groupBy(*KEY, "asset").agg(*(F.max(F.when(F.col("factor") == f, F.col("beta"))).alias(f"beta_{f}") for f in factors))
+    out = b.join(specific.select(*KEY, "asset", "r2", "insample_alpha"), [*KEY, "asset"], "left")
+    out = out.withColumn("alpha", F.col("insample_alpha")) if alpha is None else out.join(alpha.select(*KEY, "asset", "alpha"), [*KEY, "asset"], "left")
+    return out.join(variances(betas, sigma, specific.select(*KEY, "asset", "var")), [*KEY, "asset"])
+
+
 def latest(table: DataFrame) -> DataFrame:
     m = table.groupBy("panel").agg(F.max("as_of").alias("as_of"))
     return table.join(m, KEY).select(table.columns)

@@ -81,6 +81,22 @@ def ewm_demean(df: DataFrame, key: str, value: str, span: float) -> DataFrame:
     return m.withColumn(value, F.col(value) - F.col("_m")).where(F.col("t") > F.col("_first")).drop("_m", "_first")
 
 
+def ewm_covariance_series(df: DataFrame, key: str, value: str, span: float | None = None, decay: float = 0.94, gap: Gap = Gap.FFILL) -> DataFrame:
+    """panel, a, b (a <= b), t, cov: the recursion on products of two series, from 0 before the first; one unit for each pair. A null leg follows the gap rule; a missing row is no step."""
+    lam = _decay(span, decay)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        pdf["cov"] = ewm(np.concatenate([[0.0], pdf["cov"].to_numpy(float)]), lam, 0.0, gap)[1:]
+        return pdf
+
+    one = df.select("panel", "t", F.col(key).alias("a"), F.col(value).cast("double").alias("u"))
+    two = df.select("panel", "t", F.col(key).alias("b"), F.col(value).cast("double").alias("v"))
+    both = one.join(two, ["panel", "t"]).where("a <= b").select("panel", "a", "b", "t", (F.col("u") * F.col("v")).alias("cov"))
+    kinds = dict(both.dtypes)
+    return both.groupBy("panel", "a", "b").applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in both.columns))
+
+
 def ewm_covariance(a: np.ndarray, decay: float, gap: Gap = Gap.FFILL, start: np.ndarray | None = None, is_corr: bool = False) -> np.ndarray:
     """T x N x N states of the recursion on products of a T x N array; a pair with a missing leg follows the gap rule."""
     a = np.where(np.isfinite(a), a, np.nan)

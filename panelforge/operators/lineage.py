@@ -5,27 +5,38 @@ fingerprints: (panel, idx, label, members, beta, factor_var, idio_var, dominant)
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from . import covariance as V
 
 
 def fingerprints(partitions: DataFrame, betas: DataFrame, sigma: DataFrame, specific: DataFrame, weighting: str = "equal") -> DataFrame:
-    """From (panel, idx, asset, cluster), (.., asset, factor, beta), (.., f, g, cov), (.., asset, var)."""
+    """From (panel, idx, asset, cluster), (.., asset, factor, beta), (.., f, g, cov), (.., asset, var). Members are the assets with betas; weights are equal or the inverse of an asset's total volatility (equal again in a cluster where none has any)."""
     key = ["panel", "idx"]
-    p = partitions.join(specific, [*key, "asset"], "left").withColumn("var", F.coalesce("var", F.lit(0.0)))
-    inverse = F.when(F.col("var") > 0, 1 / F.sqrt(F.nullif(F.col("var"), F.lit(0.0)))).otherwise(0.0) if weighting == "inverse_vol" else F.lit(1.0)
-    from pyspark.sql.window import Window
-
-    p = p.withColumn("w", inverse).withColumn("w", F.col("w") / F.nullif(F.sum("w").over(Window.partitionBy(*key, "cluster")), F.lit(0.0)))
+    p = partitions.join(betas.select(*key, "asset").distinct(), [*key, "asset"], "left_semi")
+    p = p.join(specific.select(*key, "asset", "var"), [*key, "asset"], "left").withColumn("var", F.coalesce("var", F.lit(0.0)))
+    one = F.lit(1.0)
+    if weighting == "inverse_vol":
+        dated = [df.withColumnRenamed("idx", "as_of") for df in (betas, sigma, specific)]
+        vol = V.variances(*dated).select("panel", F.col("as_of").alias("idx"), "asset", "total_vol")
+        p = p.join(vol, [*key, "asset"], "left")
+        one = F.when(F.col("total_vol") > 0, 1 / F.nullif(F.col("total_vol"), F.lit(0.0))).otherwise(0.0)
+    all_of = Window.partitionBy(*key, "cluster")
+    p = p.withColumn("w", one)
+    p = p.withColumn("w", F.when(F.sum("w").over(all_of) > 0, F.col("w") / F.nullif(F.sum("w").over(all_of), F.lit(0.0))).otherwise(1 / F.count(F.lit(1)).over(all_of)))
     own = p.groupBy(*key, "cluster").agg(F.sort_array(F.collect_list("asset")).alias("members"), F.sum(F.col("w") * F.col("w") * F.col("var")).alias("idio_var"))
     b = p.join(betas, [*key, "asset"]).groupBy(*key, "cluster", "factor").agg(F.sum(F.col("w") * F.coalesce("beta", F.lit(0.0))).alias("beta"))
     load = b.join(sigma.withColumnRenamed("g", "factor"), [*key, "factor"]).groupBy(*key, "cluster", "f").agg(F.sum(F.col("beta") * F.col("cov")).alias("load")).withColumnRenamed("f", "factor")
     part = b.join(load, [*key, "cluster", "factor"]).withColumn("c", F.col("beta") * F.col("load"))
-    f = part.groupBy(*key, "cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("factor", "beta"))), lambda x: x["beta"]).alias("beta"), F.sum("c").alias("factor_var"), F.max(F.struct(F.round("c", 12).alias("c"), "factor")).alias("top"))
+    f = part.groupBy(*key, "cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("factor", "beta"))), lambda x: x["beta"]).alias("beta"), F.sum("c").alias("factor_var"), F.min(F.struct((-F.round("c", 12)).alias("c"), "factor")).alias("top"))
     out = own.join(f, [*key, "cluster"])
-    return out.select(*key, F.col("cluster").alias("label"), "members", "beta", "factor_var", "idio_var", F.when(F.col("top.c") > 0, F.col("top.factor")).otherwise("Idio").alias("dominant"))
+    return out.select(*key, F.col("cluster").alias("label"), "members", "beta", "factor_var", "idio_var", F.when(F.col("top.c") < 0, F.col("top.factor")).otherwise("Idio").alias("dominant"))
 
 
 def overlap(a: Column, b: Column, common: Column, jaccard: bool = False) -> Column:
@@ -36,20 +47,28 @@ def overlap(a: Column, b: Column, common: Column, jaccard: bool = False) -> Colu
     return F.coalesce(both / F.nullif(other, F.lit(0)), F.lit(0.0))
 
 
+def quadratic(d: Column, s: Column) -> Column:
+    """d' S d of a vector and a matrix by rows, not below 0."""
+    m = F.size(d)
+    form = F.aggregate(F.sequence(F.lit(0), m * m - 1), F.lit(0.0), lambda acc, k: acc + F.get(d, F.floor(k / m).cast("int")) * F.get(d, (k % m).cast("int")) * F.get(s, k))
+    return F.greatest(form, F.lit(0.0))
+
+
+def _flat(sigma: DataFrame, name: str) -> DataFrame:
+    return sigma.groupBy("panel", "idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("f", "g", "cov"))), lambda x: x["cov"]).alias(name))
+
+
 def links(fp: DataFrame, sigma: DataFrame, window: int = 1, band: tuple[float, float] = (0.3, 0.6), cut: float = 0.05, share: float = 0.5, blend: bool = False, jaccard: bool = False, decay: float = 0.5) -> DataFrame:
     """(panel, i, a, j, b, ov, spread, weight): clusters of two dates at most window + 1 apart that may be one. The gap is exploded, so the join is on equal dates."""
     here = fp.select("panel", F.col("idx").alias("i"), F.col("label").alias("a"), F.col("members").alias("ma"), F.col("beta").alias("ba"), F.explode(F.array(*(F.lit(g) for g in range(1, window + 2)))).alias("gap")).withColumn("j", F.col("i") + F.col("gap"))
     there = fp.select("panel", F.col("idx").alias("j"), F.col("label").alias("b"), F.col("members").alias("mb"), F.col("beta").alias("bb"))
     all_of = fp.groupBy("panel", "idx").agg(F.array_distinct(F.flatten(F.collect_list("members"))).alias("every"))
-    sig = sigma.groupBy("panel", "idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("f", "g", "cov"))), lambda x: x["cov"]).alias("s"))
-    at = all_of.join(sig, ["panel", "idx"])
+    at = all_of.join(_flat(sigma, "s"), ["panel", "idx"])
     j = here.join(there, ["panel", "j"]).join(at.select("panel", F.col("idx").alias("i"), F.col("every").alias("ea"), F.col("s").alias("sa")), ["panel", "i"]).join(at.select("panel", F.col("idx").alias("j"), F.col("every").alias("eb"), F.col("s").alias("sb")), ["panel", "j"])
-    m = F.size("ba")
     d = F.zip_with("ba", "bb", lambda x, y: y - x)
     mean = F.zip_with("sa", "sb", lambda x, y: (x + y) / 2)
     j = j.withColumn("d", d).withColumn("s", mean)
-    quad = F.aggregate(F.sequence(F.lit(0), m * m - 1), F.lit(0.0), lambda acc, k: acc + F.get("d", F.floor(k / m).cast("int")) * F.get("d", (k % m).cast("int")) * F.get("s", k))
-    j = j.withColumn("ov", overlap(F.col("ma"), F.col("mb"), F.array_intersect("ea", "eb"), jaccard)).withColumn("spread", F.sqrt(F.greatest(quad, F.lit(0.0))))
+    j = j.withColumn("ov", overlap(F.col("ma"), F.col("mb"), F.array_intersect("ea", "eb"), jaccard)).withColumn("spread", F.sqrt(quadratic(F.col("d"), F.col("s"))))
     near = F.exp(-F.pow("spread", F.lit(2)) / (2 * cut * cut))
     mixed = share * F.col("ov") + (1 - share) * near
     if blend:
@@ -232,22 +251,114 @@ def tracks(fp: DataFrame, candidate: DataFrame, method: str = "chains", window:
     return nodes.groupBy("panel").cogroup(edges.groupBy("p")).applyInPandas(run, EVENTS)
 
 
-def classify(tracked: DataFrame, fp: DataFrame, mixed: float = 0.6, core: float = 0.8, transient: float = 0.2) -> DataFrame:
-    """(panel, track, lifetime, coverage, modal, modal_share, kind, persistence, mean_factor_vol, vol_trend) of each track."""
-    t = tracked.where("kind = 'label'").select("panel", "idx", "label", "track").join(fp, ["panel", "idx", "label"])
-    dates = fp.groupBy("panel").agg(F.count_distinct("idx").alias("dates"))
-    modal = t.groupBy("panel", "track", "dominant").agg(F.count(F.lit(1)).alias("k")).groupBy("panel", "track").agg(F.min(F.struct((-F.col("k")).alias("k"), "dominant"))["dominant"].alias("modal"), (F.max("k") / F.sum("k")).alias("modal_share"))
-    from pyspark.sql.window import Window
+@dataclass(frozen=True)
+class Taxonomy:
+    """Limits that name a track."""
+
+    # fixed values
+    equity: str = "Equity"
+    high_beta: float = 0.70
+    low_beta: float = 0.30
+    mixed: float = 0.50
+    stable: float = 0.015
+    drifting: float = 0.030
+    core: float = 0.70
+    transient: float = 0.30
+    vol_low: float = 0.05
+    vol_high: float = 0.12
 
-    i = F.row_number().over(Window.partitionBy("panel", "track").orderBy("idx")) - 1
-    life = t.withColumn("i", i).withColumn("vol", F.sqrt(F.greatest("factor_var", F.lit(0.0)))).groupBy("panel", "track").agg(F.count(F.lit(1)).alias("lifetime"), F.avg("vol").alias("mean_factor_vol"), F.when(F.count(F.lit(1)) >= 3, F.regr_slope("vol", "i")).otherwise(0.0).alias("vol_trend"))
-    out = life.join(modal, ["panel", "track"]).join(dates, "panel").withColumn("coverage", F.col("lifetime") / F.col("dates")).drop("dates")
-    kind = F.when(F.col("modal_share") < mixed, "Mixed").otherwise(F.col("modal"))
-    regime = F.when(F.col("coverage") >= core, "Core").when(F.col("coverage") < transient, "Transient").otherwise("Episodic")
-    return out.withColumn("kind", kind).withColumn("persistence", regime)
+
+TRACK = ["panel", "track"]
+
+
+def track_panel(tracked: DataFrame, fp: DataFrame) -> DataFrame:
+    """(panel, track, idx, label, members, beta, factor_vol, idio_vol, total_vol, r2, size, dominant): the fingerprint of a track at each of its dates."""
+    t = tracked.where("kind = 'label'").select("panel", "idx", "label", "track").join(fp, ["panel", "idx", "label"])
+    total = F.col("factor_var") + F.col("idio_var")
+    vol = lambda c: F.sqrt(F.greatest(c, F.lit(0.0)))
+    return t.select(*TRACK, "idx", "label", "members", "beta", vol(F.col("factor_var")).alias("factor_vol"), vol(F.col("idio_var")).alias("idio_vol"), vol(total).alias("total_vol"), F.when(total > 0, F.col("factor_var") / F.nullif(total, F.lit(0.0))).otherwise(0.0).alias("r2"), F.size("members").alias("size"), "dominant")
+
+
+def _mean_of(df: DataFrame, array: str, name: str) -> DataFrame:
+    """Mean array of each track."""
+    each = df.select(*TRACK, F.posexplode(array).alias("k", "v")).groupBy(*TRACK, "k").agg(F.avg("v").alias("v"))
+    return each.groupBy(*TRACK).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias(name))
+
+
+def spreads(panel: DataFrame, sigma: DataFrame) -> DataFrame:
+    """(panel, track, idx, spread): the distance of a date's beta from the track's mean, as a volatility under the mean factor covariance of the track's dates."""
+    s = _mean_of(panel.select(*TRACK, "idx").join(_flat(sigma, "s"), ["panel", "idx"]), "s", "s")
+    j = panel.select(*TRACK, "idx", "beta").join(_mean_of(panel, "beta", "mean").join(s, TRACK), TRACK)
+    d = j.withColumn("d", F.zip_with("beta", "mean", lambda x, y: x - y))
+    return d.select(*TRACK, "idx", F.sqrt(quadratic(F.col("d"), F.col("s"))).alias("spread"))
+
+
+def beta_breaks(spread: DataFrame, taxonomy: Taxonomy = Taxonomy()) -> DataFrame:
+    """(panel, track, idx, event, detail): dates at which a track is as far from its mean as a drifting one."""
+    return spread.where(F.col("spread") >= taxonomy.drifting).select(*TRACK, "idx", F.lit("beta_break").alias("event"), F.format_string("spread_vol=%.3f", "spread").alias("detail"))
+
+
+def classify(panel: DataFrame, spread: DataFrame, dates: DataFrame, factors: list[str], taxonomy: Taxonomy = Taxonomy()) -> DataFrame:
+    """(panel, track, kind, stability, stability_label, coverage, lifetime, persistence, mean_factor_vol, vol_regime, vol_trend, modal, modal_share).
+
+    panel: see `track_panel`; spread: see `spreads`; dates: (panel, idx) of all dates; factors in the order of beta. Of equally frequent dominant factors the earliest is modal.
+    """
+    x = taxonomy
+    seen = panel.groupBy(*TRACK, "dominant").agg(F.count(F.lit(1)).alias("k"), F.min("idx").alias("first"))
+    modal = seen.groupBy(*TRACK).agg(F.min(F.struct((-F.col("k")).alias("k"), "first", "dominant"))["dominant"].alias("modal"), (F.max("k") / F.sum("k")).alias("modal_share"))
+    place = F.row_number().over(Window.partitionBy(*TRACK).orderBy("idx")) - 1
+    equity = F.get("beta", factors.index(x.equity)) if x.equity in factors else F.lit(0.0)
+    life = panel.withColumn("i", place).groupBy(*TRACK).agg(F.count(F.lit(1)).alias("lifetime"), F.avg("factor_vol").alias("mean_factor_vol"), F.when(F.count(F.lit(1)) >= 3, F.regr_slope("factor_vol", "i")).otherwise(0.0).alias("vol_trend"), F.avg(equity).alias("equity"))
+    far = spread.groupBy(*TRACK).agg(F.median("spread").alias("stability"))
+    all_dates = dates.groupBy("panel").agg(F.count_distinct("idx").alias("dates"))
+    out = life.join(modal, TRACK).join(far, TRACK).join(all_dates, "panel").withColumn("coverage", F.col("lifetime") / F.col("dates"))
+    three = lambda low, a, high, b, c: F.when(low, a).when(high, b).otherwise(c)
+    bucket = three(F.col("equity") >= x.high_beta, "Equity-HighBeta", F.col("equity") <= x.low_beta, "Equity-Defensive", "Equity-Core")
+    return out.select(
+        *TRACK, F.when(F.col("modal_share") < x.mixed, "Mixed").when(F.col("modal") == x.equity, bucket).otherwise(F.col("modal")).alias("kind"),
+        "stability", three(F.col("stability") <= x.stable, "Stable", F.col("stability") >= x.drifting, "Drifting", "Transitioning").alias("stability_label"),
+        "coverage", "lifetime", three(F.col("coverage") >= x.core, "Core", F.col("coverage") < x.transient, "Transient", "Episodic").alias("persistence"),
+        "mean_factor_vol", three(F.col("mean_factor_vol") < x.vol_low, "Low", F.col("mean_factor_vol") > x.vol_high, "High", "Mid").alias("vol_regime"),
+        "vol_trend", "modal", "modal_share",
+    )
+
+
+def factor_labels(panel: DataFrame, sigma: DataFrame, factors: list[str], second: float = 0.35, taxonomy: Taxonomy = Taxonomy()) -> DataFrame:
+    """(panel, track, label): the factor with most of a track's variance (and the next from a share on), what its mean beta says, and the level of its volatility. sigma: (panel, f, g, cov), one for all dates. Of equal shares the later factor goes first."""
+    names = F.array(*(F.lit(f) for f in factors))
+    b = panel.select(*TRACK, F.posexplode("beta").alias("k", "v")).groupBy(*TRACK, "k").agg(F.avg("v").alias("beta")).withColumn("factor", F.get(names, F.col("k")))
+    load = b.join(sigma.withColumnRenamed("g", "factor"), ["panel", "factor"]).groupBy(*TRACK, "f").agg(F.sum(F.col("beta") * F.col("cov")).alias("load")).withColumnRenamed("f", "factor")
+    c = b.join(load, [*TRACK, "factor"]).withColumn("c", F.greatest(F.col("beta") * F.col("load"), F.lit(0.0)))
+    top = c.groupBy(*TRACK).agg(F.sum("c").alias("all"), F.sort_array(F.collect_list(F.struct("c", "k", "factor", "beta")), asc=False).alias("by"))
+    j = top.join(panel.groupBy(*TRACK).agg(F.avg("factor_vol").alias("vol")), TRACK)
+    first, beta = F.get("by", 0)["factor"], F.get("by", 0)["beta"]
+    # fixed values
+    said = F.when(first == "Equity", F.when(beta >= taxonomy.high_beta, " high-β").when(beta <= taxonomy.low_beta, " defensive").otherwise(" core"))
+    said = said.when(first == "Rates", F.when(beta > 0, " long-duration").otherwise(" short-duration")).when(beta < 0, " short").otherwise("")
+    level = F.when(F.col("vol") < taxonomy.vol_low, "low-vol").when(F.col("vol") > taxonomy.vol_high, "high-vol").otherwise("mid-vol")
+    other = F.when(F.get("by", 1)["c"] >= second * F.col("all"), F.concat(F.lit(" + "), F.get("by", 1)["factor"])).otherwise("")
+    return j.select(*TRACK, F.when(F.col("all") <= 0, "Idiosyncratic").otherwise(F.concat(first, said, other, F.lit(" · "), level)).alias("label"))
 
 
 def label_panel(tracked: DataFrame, partitions: DataFrame) -> DataFrame:
     """(panel, idx, asset, track)."""
     t = tracked.where("kind = 'label'").select("panel", "idx", F.col("label").alias("cluster"), "track")
     return partitions.join(t, ["panel", "idx", "cluster"]).select("panel", "idx", "asset", "track")
+
+
+def labels_at(labelled: DataFrame, idx: int, names: DataFrame | None = None) -> DataFrame:
+    """(panel, asset, label) at a date, or at the last one before it; labelled: see `label_panel`, names: see `factor_labels`, tracks without."""
+    last = labelled.where(F.col("idx") <= idx).groupBy("panel").agg(F.max("idx").alias("idx"))
+    at = labelled.join(last, ["panel", "idx"])
+    if names is None:
+        return at.select("panel", "asset", F.col("track").alias("label"))
+    return at.join(names, TRACK).select("panel", "asset", "label")
+
+
+def analyze(partitions: DataFrame, betas: DataFrame, sigma: DataFrame, specific: DataFrame, factors: list[str], method: str = "chains", weighting: str = "equal", window: int = 1, taxonomy: Taxonomy = Taxonomy(), **affinity) -> dict[str, DataFrame]:
+    """The whole report as tables: fingerprints, tracked, panel, classes, breaks, labels (of assets). Arguments as of `fingerprints`, `links` and `tracks`; factors in order of their names. Fingerprints and tracks (a row for each cluster and date) stay persisted until they are unpersisted; a lost one is computed again."""
+    fp = fingerprints(partitions, betas, sigma, specific, weighting).persist()
+    tracked = tracks(fp, links(fp, sigma, window, **affinity), method, window).persist()
+    panel = track_panel(tracked, fp)
+    far = spreads(panel, sigma)
+    return {"fingerprints": fp, "tracked": tracked, "panel": panel, "classes": classify(panel, far, fp, factors, taxonomy), "breaks": beta_breaks(far, taxonomy), "labels": label_panel(tracked, partitions)}

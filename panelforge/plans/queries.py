@@ -245,6 +245,11 @@ def ewm_mean_last(spark, sf):
     return E.ewm_last(panels(spark, sf)[0], "factor", "x", 12).select("factor", rounded("ewm").alias("ewm"))
 
 
+@query(with_base("", "SELECT a.a, a.b, a.t, round(sum(pow(1 - 2.0::DOUBLE / 13, a.t - h.t) * (2.0::DOUBLE / 13) * h.uv), 6) + 0.0 AS cov FROM pr a JOIN pr h ON a.a = h.a AND a.b = h.b AND h.t <= a.t GROUP BY 1, 2, 3").replace("\nSELECT a.a", ",\npr AS (SELECT a.factor AS a, b.factor AS b, t, a.x * b.x AS uv FROM xd a JOIN xd b USING (t) WHERE a.factor <= b.factor)\nSELECT a.a"))
+def ewm_covariance_series(spark, sf):
+    return E.ewm_covariance_series(centred(spark, sf)[0], "factor", "x", span=12).select("a", "b", "t", rounded("cov").alias("cov"))
+
+
 @query(with_base("", "SELECT a, b, round(1 - rho, 6) + 0.0 AS linear, round(sqrt(2 * (1 - rho)), 6) + 0.0 AS root, round(acos(rho), 6) + 0.0 AS angle FROM (SELECT a.asset AS a, b.asset AS b, least(1.0, greatest(-1.0, coalesce(corr(a.y, b.y), 0))) AS rho FROM y a JOIN y b USING (t) WHERE a.asset < b.asset GROUP BY 1, 2)"))
 def correlation_distances(spark, sf):
     p = D.pearson(panels(spark, sf)[1])
@@ -256,10 +261,10 @@ def off_diagonal_mass(spark, sf):
     return D.off_diagonal_mass(D.pearson(panels(spark, sf)[1], min_periods=30)).select("pairs", rounded("mass").alias("mass"))
 
 
-@query(with_base(",\nd AS (SELECT unnest([24000, 24010, 24023]) AS as_of)", "SELECT as_of::INTEGER AS as_of, a.asset AS a, b.asset AS b, round(CASE WHEN isnan(corr(a.y, b.y)) THEN NULL ELSE corr(a.y, b.y) END, 6) + 0.0 AS rho FROM y a JOIN y b USING (t), d WHERE a.asset < b.asset AND t <= as_of GROUP BY 1, 2, 3 HAVING count(*) > 1"))
+@query(with_base(",\nd AS (SELECT DISTINCT t AS as_of FROM y)", "SELECT as_of::INTEGER AS as_of, a.asset AS a, b.asset AS b, round(CASE WHEN isnan(corr(a.y, b.y)) THEN NULL ELSE corr(a.y, b.y) END, 6) + 0.0 AS rho FROM y a JOIN y b USING (t), d WHERE a.asset < b.asset AND t <= as_of GROUP BY 1, 2, 3 HAVING count(*) > 1"))
 def rolling_correlations(spark, sf):
-    dates = spark.createDataFrame([("p", d) for d in (24000, 24010, 24023)], "panel string, as_of int")
-    out = T.correlations_at(panels(spark, sf)[1], dates)
+    y = panels(spark, sf)[1]
+    out = T.correlations_at(y, y.select("panel", F.col("t").alias("as_of")).distinct())
     return out.where("rho is not null").select("as_of", "a", "b", rounded("rho").alias("rho"))
 
 
@@ -383,7 +388,7 @@ def rolling_clusters_smoothed(spark, sf):
 @query()
 def rolling_clusters_bonus_held(spark, sf):
     y = panels(spark, sf)[1]
-    dates = y.select("panel", F.col("t").alias("as_of")).distinct().where("as_of >= 23964")
+    dates = y.select("panel", F.col("t").alias("as_of")).distinct()
     return T.rolling_clusters(T.correlations_at(y, dates, 36), smoother="partition_bonus", delta=0.2, anchors=T.anchors(dates, 12)).select("as_of", "asset", "cluster", rounded("cutoff").alias("cutoff"))
 
 
@@ -441,11 +446,12 @@ def boundary_statistics(spark, sf):
     return b.select(*(rounded(c).alias(c) for c in ("bottom_cut", "top_cut", "mean_w_moved", "mean_w_stable", "bottom_rate", "top_rate")))
 
 
-@query("SELECT a.user_id, a.ts, round(b.value, 6) + 0.0 AS last_value FROM (SELECT user_id, ts, event_id FROM events WHERE event_id % 3 = 0) a ASOF LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_id % 3 = 1) b ON a.user_id = b.user_id AND a.ts >= b.ts")
+#: What a user did last, an hour before each event.
+@query("SELECT a.user_id, a.ts, round(b.value, 6) + 0.0 AS last_value FROM (SELECT user_id, ts - INTERVAL 1 HOUR AS ts FROM events) a ASOF LEFT JOIN events b ON a.user_id = b.user_id AND a.ts >= b.ts")
 def as_of_lookup(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
-    left = e.where("event_id % 3 = 0").select("user_id", "ts")
-    right = e.where("event_id % 3 = 1").select("user_id", "ts", F.col("value").alias("last_value"))
+    left = e.select("user_id", (F.col("ts") - F.expr("INTERVAL 1 HOUR")).alias("ts"))
+    right = e.select("user_id", "ts", F.col("value").alias("last_value"))
     return T.as_of(left, right, ["user_id"], "ts", "last_value").select("user_id", "ts", rounded("last_value").alias("last_value"))
 
 
@@ -575,6 +581,23 @@ def residual_diagnostics(spark, sf):
     return d.select("n_series", "n_pairs", *(rounded(c, 4).alias(c) for c in ("statistic", "threshold", "top_eigenvalue", "edge")), "passes")
 
 
+RESID = ONE + """,
+rs AS (SELECT asset, t, y - (beta * (x - avg(x) OVER (PARTITION BY asset)) + avg(y) OVER (PARTITION BY asset)) AS e, y FROM y JOIN (SELECT t, x FROM x WHERE factor = 'R0') USING (t) JOIN o USING (asset))"""
+
+
+@query(with_base(RESID + """,
+rp AS (SELECT a.asset AS a, b.asset AS b, CASE WHEN count(*) >= 30 THEN corr(a.e, b.e) END AS rho FROM rs a JOIN rs b USING (t) WHERE a.asset < b.asset GROUP BY 1, 2),
+le AS (SELECT min(n) - 2 AS nu, count(*) AS k FROM (SELECT count(*) AS n FROM rs GROUP BY asset))""", "SELECT any_value(k)::INTEGER AS n_series, count(rho)::INTEGER AS n_pairs, round(any_value(nu) * sum(rho * rho), 4) + 0.0 AS statistic FROM rp, le"))
+def residual_statistic(spark, sf):
+    return G.diagnose(_resid(spark, sf), n_fitted=1).select("n_series", "n_pairs", rounded("statistic", 4).alias("statistic"))
+
+
+@query(with_base(RESID, "SELECT round(1 - sum(r) / sum(s), 6) + 0.0 AS r2 FROM (SELECT sum(e * e) AS r, var_pop(y) * count(y) AS s FROM rs GROUP BY asset)"))
+def pooled_r2(spark, sf):
+    f, x, y, _ = _one_factor(spark, sf)
+    return M.out_of_sample_r2(f.predict(x), y).select(rounded("r2").alias("r2"))
+
+
 @query()
 def missing_factors(spark, sf):
     return G.missing_factors(_resid(spark, sf), n_fitted=1).select("component", "asset", rounded("loading", 4).alias("loading"))
@@ -583,46 +606,180 @@ def missing_factors(spark, sf):
 # ---- lineage
 
 
-def _snapshots(spark, sf):
+FACTORS = [f"R{i}" for i in range(5)]
+TAXONOMY = L.Taxonomy(equity="R1", mixed=0.9, stable=0.2, drifting=0.3, vol_low=1.0, vol_high=1.5)
+
+#: A snapshot for each year: slopes of the year's months, their covariances and variances, and the year's clusters.
+YEARS = PARTS + """,
+yz AS (SELECT (t // 12)::INTEGER AS idx, asset, factor, sum(x * y) / sum(x * x) AS beta FROM yd JOIN xd USING (t) GROUP BY 1, 2, 3),
+ys AS (SELECT (a.t // 12)::INTEGER AS idx, a.factor AS f, b.factor AS g, covar_samp(a.x, b.x) AS cov FROM xd a JOIN xd b USING (t) GROUP BY 1, 2, 3),
+yp AS (SELECT (t // 12)::INTEGER AS idx, asset, var_samp(y) / 4 AS var, regr_r2(y, x) AS r2, regr_intercept(y, x) AS insample_alpha FROM y JOIN (SELECT t, x FROM x WHERE factor = 'R0') USING (t) GROUP BY 1, 2),
+pt AS (SELECT as_of AS idx, asset, cluster FROM p),
+fb AS (SELECT idx, cluster, factor, avg(beta) AS b FROM pt JOIN yz USING (idx, asset) GROUP BY 1, 2, 3),
+fc AS (SELECT a.idx, a.cluster, a.factor, any_value(a.b) * sum(b.b * cov) AS c FROM fb a JOIN fb b USING (idx, cluster) JOIN ys ON ys.idx = a.idx AND f = a.factor AND g = b.factor GROUP BY 1, 2, 3),
+fp AS (SELECT idx, cluster AS label, sum(c) AS factor_var, CASE WHEN max(c) > 0 THEN arg_max(factor, c) ELSE 'Idio' END AS dominant FROM fc GROUP BY 1, 2),
+fi AS (SELECT idx, cluster AS label, count(*) AS size, sum(var) / count(*) / count(*) AS idio_var FROM pt JOIN yp USING (idx, asset) GROUP BY 1, 2),
+tp AS (SELECT idx, label, size, dominant, sqrt(factor_var) AS factor_vol, sqrt(idio_var) AS idio_vol, sqrt(factor_var + idio_var) AS total_vol, factor_var / (factor_var + idio_var) AS r2 FROM fp JOIN fi USING (idx, label))"""
+
+
+def _years(spark, sf):
+    """(clusters, betas, sigma, specific), by idx."""
     x, y, _ = centred(spark, sf)
-    p = yearly(spark, sf).withColumnRenamed("as_of", "idx")
-    idx = p.select("idx").distinct()
-    b, sg, sp = _cov(spark, sf)
-    every = lambda df: df.drop("as_of").crossJoin(F.broadcast(idx))  # noqa: E731  a few years against one snapshot
-    fp = L.fingerprints(p, every(b), every(sg), every(sp))
-    return fp, every(sg), p
+    raw_x, raw_y, _ = panels(spark, sf)
+    year = F.floor(F.col("t") / 12).cast("int").alias("idx")
+    both = y.join(x, ["panel", "t"])
+    b = both.groupBy("panel", year, "asset", "factor").agg((F.sum(F.col("x") * F.col("y")) / F.sum(F.col("x") * F.col("x"))).alias("beta"))
+    one, two = x.select("panel", "t", F.col("factor").alias("f"), F.col("x").alias("u")), x.select("panel", "t", F.col("factor").alias("g"), F.col("x").alias("v"))
+    sg = one.join(two, ["panel", "t"]).groupBy("panel", year, "f", "g").agg(F.covar_samp("u", "v").alias("cov"))
+    sp = raw_y.join(raw_x.where("factor = 'R0'"), ["panel", "t"]).groupBy("panel", year, "asset").agg((F.var_samp("y") / 4).alias("var"), F.regr_r2("y", "x").alias("r2"), F.regr_intercept("y", "x").alias("insample_alpha"))
+    return yearly(spark, sf).withColumnRenamed("as_of", "idx"), b, sg, sp
 
 
-@query(with_base(COV + PARTS + """,
-fb AS (SELECT as_of, p.cluster, factor, avg(slope) AS b FROM p JOIN z USING (asset) GROUP BY 1, 2, 3),
-fv AS (SELECT a.as_of, a.cluster, sum(a.b * b.b * cov) AS v FROM fb a JOIN fb b USING (as_of, cluster) JOIN sg ON f = a.factor AND g = b.factor GROUP BY 1, 2)""", "SELECT as_of AS idx, cluster AS label, size, round(v, 6) + 0.0 AS factor_var, round(i, 6) + 0.0 AS idio_var FROM fv JOIN (SELECT as_of, cluster, count(*) AS size, sum(var) / count(*) / count(*) AS i FROM p JOIN sp USING (asset) GROUP BY 1, 2) USING (as_of, cluster)"))
+def _snapshots(spark, sf):
+    p, b, sg, sp = _years(spark, sf)
+    return L.fingerprints(p, b, sg, sp), sg, p
+
+
+@query(with_base(YEARS, "SELECT idx, label, size, dominant, round(factor_vol * factor_vol, 6) + 0.0 AS factor_var, round(idio_vol * idio_vol, 6) + 0.0 AS idio_var FROM tp"))
 def cluster_fingerprints(spark, sf):
     fp, _, _ = _snapshots(spark, sf)
-    return fp.select("idx", "label", F.size("members").cast("long").alias("size"), rounded("factor_var").alias("factor_var"), rounded("idio_var").alias("idio_var"))
+    return fp.select("idx", "label", F.size("members").cast("long").alias("size"), "dominant", rounded("factor_var").alias("factor_var"), rounded("idio_var").alias("idio_var"))
 
 
-@query()
+@query(with_base(YEARS + """,
+vl AS (SELECT idx, asset, greatest(0, total) AS v FROM (SELECT a.idx, a.asset, sum(a.beta * b.beta * cov) + any_value(var) AS total FROM yz a JOIN yz b USING (idx, asset) JOIN ys ON ys.idx = a.idx AND f = a.factor AND g = b.factor JOIN yp ON yp.idx = a.idx AND yp.asset = a.asset GROUP BY 1, 2)),
+wt AS (SELECT idx, asset, cluster, 1 / sqrt(v) / sum(1 / sqrt(v)) OVER (PARTITION BY idx, cluster) AS w FROM pt JOIN vl USING (idx, asset)),
+wb AS (SELECT idx, cluster, factor, sum(w * beta) AS b FROM wt JOIN yz USING (idx, asset) GROUP BY 1, 2, 3)""", "SELECT a.idx, a.cluster AS label, round(sum(a.b * b.b * cov), 6) + 0.0 AS factor_var, round(any_value(i), 6) + 0.0 AS idio_var FROM wb a JOIN wb b USING (idx, cluster) JOIN ys ON ys.idx = a.idx AND f = a.factor AND g = b.factor JOIN (SELECT idx, cluster, sum(w * w * var) AS i FROM wt JOIN yp USING (idx, asset) GROUP BY 1, 2) n ON n.idx = a.idx AND n.cluster = a.cluster GROUP BY 1, 2"))
+def cluster_fingerprints_inverse_vol(spark, sf):
+    return L.fingerprints(*_years(spark, sf), "inverse_vol").select("idx", "label", rounded("factor_var").alias("factor_var"), rounded("idio_var").alias("idio_var"))
+
+
+CUT = 0.5  # betas of single years move far more than the default tells apart
+
+
+@query(with_base(YEARS + """,
+cm AS (SELECT a.idx AS i, b.idx AS j, a.cluster AS a, b.cluster AS b, count(*) AS n FROM pt a JOIN pt b USING (asset) WHERE b.idx - a.idx IN (1, 2) GROUP BY 1, 2, 3, 4),
+na AS (SELECT i, j, a, sum(n) AS na FROM cm GROUP BY 1, 2, 3), nb AS (SELECT i, j, b, sum(n) AS nb FROM cm GROUP BY 1, 2, 4 - 1),
+df AS (SELECT u.idx AS i, v.idx AS j, u.cluster AS a, v.cluster AS b, factor, v.b - u.b AS d FROM fb u JOIN fb v USING (factor) WHERE v.idx - u.idx IN (1, 2)),
+ms AS (SELECT u.idx AS i, v.idx AS j, f, g, (u.cov + v.cov) / 2 AS cov FROM ys u JOIN ys v USING (f, g) WHERE v.idx - u.idx IN (1, 2)),
+sd AS (SELECT i, j, a, b, sqrt(greatest(0, sum(x.d * y.d * cov))) AS spread FROM df x JOIN df y USING (i, j, a, b) JOIN ms USING (i, j) WHERE f = x.factor AND g = y.factor GROUP BY 1, 2, 3, 4),
+lk AS (SELECT i, j, a, b, coalesce(n / least(na, nb)::DOUBLE, 0) AS ov, spread, exp(-spread * spread / (2 * 0.5 * 0.5)) AS near FROM sd LEFT JOIN cm USING (i, j, a, b) LEFT JOIN na USING (i, j, a) LEFT JOIN nb USING (i, j, b))""".replace("GROUP BY 1, 2, 4 - 1", "GROUP BY 1, 2, 3"), "SELECT i, a, j, b, round(ov, 6) + 0.0 AS ov, round(spread, 6) + 0.0 AS spread, round(CASE WHEN ov >= 0.6 THEN ov + near ELSE 0.5 * ov + 0.5 * near END * pow(0.5::DOUBLE, j - i - 1), 6) + 0.0 AS weight FROM lk WHERE ov >= 0.6 OR (ov >= 0.3 AND spread <= 0.5)"))
 def lineage_links(spark, sf):
     fp, sg, _ = _snapshots(spark, sf)
-    return L.links(fp, sg).select("i", "a", "j", "b", rounded("ov").alias("ov"), rounded("spread").alias("spread"), rounded("weight").alias("weight"))
+    return L.links(fp, sg, cut=CUT).select("i", "a", "j", "b", rounded("ov").alias("ov"), rounded("spread").alias("spread"), rounded("weight").alias("weight"))
+
+
+def _named(p: DataFrame) -> DataFrame:
+    """Clusters that keep their label are one track: a lineage that SQL can say."""
+    return p.select("panel", F.lit("label").alias("kind"), "idx", F.col("cluster").alias("label"), F.concat(F.lit("d"), "cluster").alias("track")).distinct()
+
+
+def _track(spark, sf):
+    fp, sg, p = _snapshots(spark, sf)
+    return L.track_panel(_named(p), fp), sg, p
+
+
+@query(with_base(YEARS, "SELECT 'd' || label AS track, idx, size::INTEGER AS size, dominant, round(factor_vol, 6) + 0.0 AS factor_vol, round(idio_vol, 6) + 0.0 AS idio_vol, round(total_vol, 6) + 0.0 AS total_vol, round(r2, 6) + 0.0 AS r2 FROM tp"))
+def track_panel(spark, sf):
+    return _track(spark, sf)[0].select("track", "idx", "size", "dominant", *(rounded(c).alias(c) for c in ("factor_vol", "idio_vol", "total_vol", "r2")))
+
+
+SPREADS = YEARS + """,
+dv AS (SELECT idx, cluster, factor, b - avg(b) OVER (PARTITION BY cluster, factor) AS d FROM fb),
+tl AS (SELECT DISTINCT idx, cluster FROM pt),
+av AS (SELECT cluster, f, g, avg(cov) AS cov FROM tl JOIN ys USING (idx) GROUP BY 1, 2, 3),
+sr AS (SELECT idx, a.cluster AS label, sqrt(greatest(0, sum(a.d * b.d * cov))) AS spread FROM dv a JOIN dv b USING (idx, cluster) JOIN av ON av.cluster = a.cluster AND f = a.factor AND g = b.factor GROUP BY 1, 2)"""
+
+
+@query(with_base(SPREADS, "SELECT 'd' || label AS track, idx, round(spread, 6) + 0.0 AS spread FROM sr"))
+def track_spreads(spark, sf):
+    panel, sg, _ = _track(spark, sf)
+    return L.spreads(panel, sg).select("track", "idx", rounded("spread").alias("spread"))
+
+
+@query(with_base(SPREADS, "SELECT 'd' || label AS track, idx, 'beta_break' AS event, printf('spread_vol=%.3f', spread) AS detail FROM sr WHERE spread >= 0.3"))
+def track_breaks(spark, sf):
+    panel, sg, _ = _track(spark, sf)
+    return L.beta_breaks(L.spreads(panel, sg), TAXONOMY).drop("panel")
+
+
+@query(with_base(SPREADS + """,
+mo AS (SELECT label, dominant AS modal, k / sum(k) OVER (PARTITION BY label)::DOUBLE AS modal_share, row_number() OVER (PARTITION BY label ORDER BY k DESC, f) AS r FROM (SELECT label, dominant, count(*) AS k, min(idx) AS f FROM tp GROUP BY 1, 2)),
+eq AS (SELECT cluster AS label, avg(b) AS eq FROM fb WHERE factor = 'R1' GROUP BY 1),
+li AS (SELECT label, count(*) AS lifetime, avg(factor_vol) AS mv, CASE WHEN count(*) >= 3 THEN regr_slope(factor_vol, i) ELSE 0 END AS vt FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY idx) AS i FROM tp) GROUP BY 1),
+md AS (SELECT label, median(spread) AS s FROM sr GROUP BY 1),
+al AS (SELECT *, lifetime / (SELECT count(DISTINCT idx) FROM pt)::DOUBLE AS cv FROM li JOIN mo USING (label) JOIN eq USING (label) JOIN md USING (label) WHERE r = 1)""", """SELECT 'd' || label AS track, CASE WHEN modal_share < 0.9 THEN 'Mixed' WHEN modal = 'R1' THEN CASE WHEN eq >= 0.7 THEN 'Equity-HighBeta' WHEN eq <= 0.3 THEN 'Equity-Defensive' ELSE 'Equity-Core' END ELSE modal END AS kind,
+round(s, 6) + 0.0 AS stability, CASE WHEN s <= 0.2 THEN 'Stable' WHEN s >= 0.3 THEN 'Drifting' ELSE 'Transitioning' END AS stability_label, round(cv, 6) + 0.0 AS coverage, lifetime, CASE WHEN cv >= 0.7 THEN 'Core' WHEN cv < 0.3 THEN 'Transient' ELSE 'Episodic' END AS persistence,
+round(mv, 6) + 0.0 AS mean_factor_vol, CASE WHEN mv < 1 THEN 'Low' WHEN mv > 1.5 THEN 'High' ELSE 'Mid' END AS vol_regime, round(vt, 6) + 0.0 AS vol_trend, modal, round(modal_share, 6) + 0.0 AS modal_share FROM al"""))
+def track_classes(spark, sf):
+    panel, sg, p = _track(spark, sf)
+    c = L.classify(panel, L.spreads(panel, sg), p, FACTORS, TAXONOMY)
+    return c.select("track", "kind", rounded("stability").alias("stability"), "stability_label", rounded("coverage").alias("coverage"), "lifetime", "persistence", rounded("mean_factor_vol").alias("mean_factor_vol"), "vol_regime", rounded("vol_trend").alias("vol_trend"), "modal", rounded("modal_share").alias("modal_share"))
+
+
+RENAMED = "CASE factor WHEN 'R0' THEN 'Equity' WHEN 'R1' THEN 'Rates' ELSE factor END"
+
+
+@query(with_base(YEARS + f""",
+mb AS (SELECT cluster, factor, avg(b) AS b FROM fb GROUP BY 1, 2),
+wh AS (SELECT a.factor AS f, b.factor AS g, covar_samp(a.x, b.x) AS cov FROM xd a JOIN xd b USING (t) GROUP BY 1, 2),
+ct AS (SELECT a.cluster, a.factor, any_value(a.b) AS b, greatest(0, any_value(a.b) * sum(b.b * cov)) AS c FROM mb a JOIN mb b USING (cluster) JOIN wh ON f = a.factor AND g = b.factor GROUP BY 1, 2),
+rk AS (SELECT cluster, {RENAMED} AS factor, b, c, sum(c) OVER (PARTITION BY cluster) AS al, row_number() OVER (PARTITION BY cluster ORDER BY c DESC, factor DESC) AS r FROM ct),
+vo AS (SELECT label, avg(factor_vol) AS v FROM tp GROUP BY 1)""", "SELECT 'd' || a.cluster AS track, a.factor || CASE a.factor WHEN 'Equity' THEN CASE WHEN a.b >= 0.7 THEN ' high-β' WHEN a.b <= 0.3 THEN ' defensive' ELSE ' core' END WHEN 'Rates' THEN CASE WHEN a.b > 0 THEN ' long-duration' ELSE ' short-duration' END ELSE CASE WHEN a.b < 0 THEN ' short' ELSE '' END END || CASE WHEN o.c >= 0.35 * a.al THEN ' + ' || o.factor ELSE '' END || ' · ' || CASE WHEN v < 1 THEN 'low-vol' WHEN v > 1.5 THEN 'high-vol' ELSE 'mid-vol' END AS label FROM rk a JOIN rk o ON a.cluster = o.cluster AND a.r = 1 AND o.r = 2 JOIN vo ON label = a.cluster"))
+def track_labels(spark, sf):
+    panel, _, _ = _track(spark, sf)
+    names = lambda c: F.when(F.col(c) == "R0", "Equity").when(F.col(c) == "R1", "Rates").otherwise(F.col(c))
+    sg = V.factor_covariance(centred(spark, sf)[0]).select("panel", names("f").alias("f"), names("g").alias("g"), "cov")
+    return L.factor_labels(panel, sg, ["Equity", "Rates", "R2", "R3", "R4"], taxonomy=TAXONOMY).select("track", "label")
+
+
+@query(with_base(YEARS, "SELECT idx, asset, 'd' || cluster AS track FROM pt"))
+def track_members(spark, sf):
+    p = _years(spark, sf)[0]
+    return L.label_panel(_named(p), p).select("idx", "asset", "track")
+
+
+@query(with_base(YEARS, "SELECT asset, 'd' || cluster AS label FROM pt WHERE idx = (SELECT max(idx) FROM pt WHERE idx <= 2100)"))
+def track_members_at(spark, sf):
+    p = _years(spark, sf)[0]
+    return L.labels_at(L.label_panel(_named(p), p), 2100).select("asset", "label")
+
+
+@query(with_base(YEARS + """,
+sv AS (SELECT a.idx, a.asset, sum(a.beta * b.beta * cov) AS sys FROM yz a JOIN yz b USING (idx, asset) JOIN ys ON ys.idx = a.idx AND f = a.factor AND g = b.factor GROUP BY 1, 2),
+bw AS (SELECT idx, asset, max(beta) FILTER (WHERE factor = 'R0') AS b0, max(beta) FILTER (WHERE factor = 'R4') AS b4 FROM yz GROUP BY 1, 2)""", "SELECT idx AS as_of, asset, round(b0, 6) + 0.0 AS beta_r0, round(b4, 6) + 0.0 AS beta_r4, round(r2, 6) + 0.0 AS r2, round(insample_alpha, 6) + 0.0 AS alpha, round(sys, 6) + 0.0 AS systematic, round(var, 6) + 0.0 AS residual, round(sqrt(greatest(0, sys + var)), 6) + 0.0 AS total_vol FROM sv JOIN bw USING (idx, asset) JOIN yp USING (idx, asset)"))
+def covariance_snapshot(spark, sf):
+    b, sg, sp = (df.withColumnRenamed("idx", "as_of") for df in _years(spark, sf)[1:])
+    out = V.snapshot(b, sg, sp, FACTORS)
+    return out.select("as_of", "asset", *(rounded(c).alias(c.lower()) for c in ("beta_R0", "beta_R4", "r2", "alpha", "systematic", "residual", "total_vol")))
+
+
+@query(with_base(YEARS, "SELECT idx AS as_of, f AS factor, round(cov, 6) + 0.0 AS var FROM ys WHERE f = g"))
+def factor_variance_series(spark, sf):
+    return V.factor_variances(_years(spark, sf)[2].withColumnRenamed("idx", "as_of")).select("as_of", "factor", rounded("var").alias("var"))
+
+
+@query(with_base(YEARS, "SELECT idx AS as_of, asset, factor, round(beta, 6) + 0.0 AS beta FROM yz WHERE idx = (SELECT max(idx) FROM yz)"))
+def latest_betas(spark, sf):
+    return V.latest(_years(spark, sf)[1].withColumnRenamed("idx", "as_of")).select("as_of", "asset", "factor", rounded("beta").alias("beta"))
 
 
 @query()
 def lineage_tracks(spark, sf):
     fp, sg, _ = _snapshots(spark, sf)
-    return L.tracks(fp, L.links(fp, sg))
+    return L.tracks(fp, L.links(fp, sg, cut=CUT))
 
 
 @query()
 def lineage_tracks_stepwise(spark, sf):
     fp, sg, _ = _snapshots(spark, sf)
-    return L.tracks(fp, L.links(fp, sg), "steps")
+    return L.tracks(fp, L.links(fp, sg, cut=CUT), "steps")
 
 
 @query()
 def lineage_classes(spark, sf):
-    fp, sg, _ = _snapshots(spark, sf)
-    return L.classify(L.tracks(fp, L.links(fp, sg)), fp).select("track", "lifetime", rounded("coverage").alias("coverage"), "modal", "kind", "persistence", rounded("mean_factor_vol", 5).alias("mean_factor_vol"))
+    out = L.analyze(*_years(spark, sf), FACTORS, taxonomy=TAXONOMY, cut=CUT)["classes"]
+    return out.select("track", "kind", rounded("stability", 5).alias("stability"), "stability_label", rounded("coverage").alias("coverage"), "lifetime", "persistence", rounded("mean_factor_vol", 5).alias("mean_factor_vol"), "vol_regime", "modal")
 
 
 __all__ = ["QUERIES", "SQL", "C"]
