@@ -1,6 +1,6 @@
 """Token ids as binary files, coded by canonical length-limited Huffman codes.
 
-Encoding. Pieces of a text that begin at a space are encoded by the tokenizer each on its own and remembered: the tokenizer's rule splits a text before such a space too, unless white space comes before it, and pieces where that matters are found and their text encoded whole. Inside a piece the same holds at a line feed between two words and at the marks behind a word. So a piece that occurs again costs a look-up, and a new one that is a known word with a mark little more. A worker remembers MEMORY pieces; those it has not met for half as many are forgotten.
+Encoding. The tokenizer splits a text by a rule before it looks for tokens. Texts are cut into pieces where that rule surely splits, as seen from the bytes on both sides: before white space; between letters, digits and marks; around one line feed between two characters. Where that isn't sure (other characters, rare white space, an apostrophe before a letter) there is no cut. So each piece is encoded by the tokenizer on its own, once for every 8 MB of texts in which it occurs, or not at all while a worker remembers it; ids of texts are put together from those of pieces by Arrow, without a step in Python for each piece. A worker remembers MEMORY pieces; those it has not met for half as many are forgotten. A text with a special token, or of a tokenizer with another rule, is one piece.
 
 Codes. The counts of all ids are summed over the corpus; package-merge gives code lengths of at most LIMIT bits, canonical codes follow from the lengths. One table serves all files.
 
@@ -14,27 +14,34 @@ Results in special cases: null text is empty and has the end id alone; a null do
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import re
+import string
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, only, table
 
 MAGIC, VERSION = b"PFHC", 1
-#: Longest code, ids in a block, bytes of ids in a part, pieces that a worker remembers.
-LIMIT, BLOCK, PART_BYTES, MEMORY = 20, 128, 8 << 20, 1_200_000
+#: Longest code, ids in a block, bytes of ids in a part, pieces that a worker remembers, bytes of text that are encoded at a time.
+LIMIT, BLOCK, PART_BYTES, MEMORY, TEXT_BYTES = 20, 128, 8 << 20, 1_200_000, 8 << 20
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 
 
+#: Ranges of doc_id, a task each: one for as many ids as a part has bytes until there are RANGES, then larger ones, of up to PARTS_A_RANGE times as many, so that a huge corpus doesn't need millions of tasks.
+RANGES, PARTS_A_RANGE = 400, 16
+
+
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
@@ -44,104 +51,160 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class Encoder:
     """Ids of texts as bytes of little-endian numbers of type `kind`, by the tokenizer of a file."""
 
-    SEPARATOR = "<|endoftext|>"  # a special token: never part of a piece's ids
-    SPACE = "\u0120"  # how a byte-level vocabulary writes a space
-    #: A word of letters with marks behind it; the tokenizer's rule ends a run of letters there. An apostrophe may begin an ending and is no such mark.
-    MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+    SEPARATOR = b"<|endoftext|>"  # a special token: never part of a piece's ids
+    SPACE = "Ġ"  # how a byte-level vocabulary writes a space
+    #: A space and characters of one or two bytes, none of them white space (of two bytes, only U+0085 and U+00A0 are).
+    PLAIN = re.compile(rb" (?:[!-~]|[\xc3-\xdf][\x80-\xbf])+")
+    #: Longest piece that is remembered.
+    LONGEST = 256
 
     def __init__(self, path: str, memory: int = MEMORY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memory = Tokenizer.from_file(path), memory
-        self.separator = self.tokenizer.token_to_id(self.SEPARATOR)
         self.kind = id_kind(self.tokenizer.get_vocab_size(with_added_tokens=True))
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.spaced = np.zeros(max(names.values()) + 1, bool)
         self.spaced[[i for name, i in names.items() if name[:1] == self.SPACE]] = True
-        # ids of pieces behind a space, by the piece without it; those not used since the half of the memory was last full; ids of parts without a space
-        self.known: dict[str, bytes | int] = {}
-        self.before: dict[str, bytes | int] = {}
-        self.bare: dict[str, bytes] = {}
+        # the places where texts are cut are sure for this rule alone; texts of other tokenizers are pieces of their own
+        rule = json.loads(self.tokenizer.to_str())
+        split = rule["pre_tokenizer"] or {}
+        added = [t["content"].encode() for t in rule["added_tokens"]]
+        self.cuts = rule["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"] and added == [self.SEPARATOR] and not any(rule["added_tokens"][0][x] for x in ("single_word", "lstrip", "rstrip"))
+        self.separator = self.tokenizer.token_to_id(self.SEPARATOR.decode()) if self.cuts else None
+        # ids of pieces; those not used since the half of the memory was last full
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _parts(self, piece: str) -> tuple[list[str], list[str]]:
-        """(the part behind the space and what follows it, in order) of a piece: lines, the line feeds between them, and marks behind a word are each encoded alone by the tokenizer's rule."""
-        if piece.isalpha():
-            return [piece], []
-        lines = piece.split("\n")
-        if len(lines) > 1 and any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
-            lines = [piece]
-        out: list[str] = []
-        for x in lines:
-            m = self.MARKED.fullmatch(x)
-            out += ["\n", *(m.groups() if m else (x,))]
-        return out[1:2], out[2:]
-
-    def _behind_space(self, parts: list[str]) -> Iterator[bytes]:
-        """Ids of each part behind a space. They are encoded as one text, in which a token that begins with a space begins a part."""
+    def _cut(self, parts: list[bytes], glue: bytes, first: Callable[[np.ndarray], np.ndarray], skip: int) -> Iterator[bytes]:
+        """Ids of each part. They are encoded as one text; `first` says at which ids a part ends, `skip` how many of them are glue."""
         for lo in range(0, len(parts), 4096):
-            yield from self._cut(" " + " ".join(parts[lo : lo + 4096]), lambda ids: np.flatnonzero(self.spaced[ids])[1:], 0)
+            ids = np.array(self.tokenizer.encode_batch_fast([glue.join(parts[lo : lo + 4096]).decode()], add_special_tokens=False)[0].ids, self.kind)
+            raw, start, w = ids.tobytes(), 0, ids.itemsize
+            for end in [*first(ids).tolist(), len(ids)]:
+                yield raw[w * start : w * end]
+                start = end + skip
+
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces that all differ."""
+        if len(self.known) > self.memory // 2:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        out = [known.get(p) for p in pieces]
+        plain: list[int] = []
+        alone: list[int] = []
+        for i, x in enumerate(out):
+            if x is None:
+                p = pieces[i]
+                if (x := before.get(p)) is not None:
+                    known[p] = out[i] = x
+                elif self.separator is None or self.SEPARATOR in p:
+                    out[i] = self.whole(p.decode())
+                else:
+                    (plain if self.PLAIN.fullmatch(p) else alone).append(i)
+        # in pieces with one space, at their beginning, a token that begins with a space begins a piece
+        for at, glue, first, skip in ((plain, b"", lambda ids: np.flatnonzero(self.spaced[ids])[1:], 0), (alone, self.SEPARATOR, lambda ids: np.flatnonzero(ids == self.separator), 1)):
+            for i, x in zip(at, self._cut([pieces[i] for i in at], glue, first, skip) if at else (), strict=True):
+                out[i] = x
+                if len(pieces[i]) <= self.LONGEST:
+                    known[pieces[i]] = x
+        return out
 
-    def _alone(self, parts: list[str]) -> Iterator[bytes]:
-        """Ids of each part without a space before it."""
-        for lo in range(0, len(parts), 4096):
-            yield from self._cut(self.SEPARATOR.join(parts[lo : lo + 4096]), lambda ids: np.flatnonzero(ids == self.separator), 1)
-
-    def _cut(self, text: str, at, skip: int) -> Iterator[bytes]:
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
-        raw, start, w = ids.tobytes(), 0, ids.itemsize
-        for end in [*at(ids).tolist(), len(ids)]:
-            yield raw[w * start : w * end]
-            start = end + skip
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Pieces without the space they begin with. What ends in white space can't be told from what follows; it is marked by 0."""
-        known, plan = self.known, {}
-        for p in pieces:
-            if (old := self.before.get(p)) is not None:
-                known[p] = old
-            elif not p or p[-1].isspace():
-                known[p] = 0
-            elif self.SEPARATOR in p:
-                known[p] = self.whole(" " + p)
-            else:
-                plan[p] = self._parts(p)
-        first = list({x for head, _ in plan.values() for x in head if x not in known})
-        known.update(zip(first, self._behind_space(first), strict=True) if first else ())
-        bare = list({x for _, rest in plan.values() for x in rest if x not in self.bare})
-        self.bare.update(zip(bare, self._alone(bare), strict=True) if bare else ())
-        for p, (head, rest) in plan.items():
-            if rest:
-                known[p] = known[head[0]] + b"".join(map(self.bare.__getitem__, rest))
-
-    def _joined(self, first: str, rest: list[str]) -> bytes | None:
-        """None if a piece can't stand alone."""
-        if rest and first[-1:].isspace():
-            return None
-        try:
-            return (self.whole(first) if first else b"") + b"".join(map(self.known.__getitem__, rest))
-        except TypeError:
-            return None
+    def _starts(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where pieces begin in the UTF-8 bytes of texts that follow each other; `ends` are the texts' offsets, 0 and the last end included."""
+        cut = np.zeros(len(data) + 1, bool)
+        if self.cuts:
+            kind = kinds(data)
+            cut[1:-1] = BETWEEN[kind[:-1] << 3 | kind[1:]]
+            # one line feed between two characters is a token of its own
+            cut[2:-1] |= (kind[1:-1] == FEED) & SOLID[kind[:-2]] & SOLID[kind[2:]]
+            raw, at = data.tobytes(), -1
+            while (at := raw.find(self.SEPARATOR, at + 1)) >= 0:
+                i = int(np.searchsorted(ends, at, "right"))
+                cut[ends[i - 1] : ends[i]] = False
+                at = int(ends[i]) - 1
+        cut[ends] = True
+        return np.flatnonzero(cut[:-1])
+
+    def column(self, texts: pa.Array, end: bytes = b"") -> pa.Array:
+        """Ids of each text, and `end` behind them, as a column of binaries. Nulls are empty texts."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        _, offs, data = texts.buffers()
+        offs = np.frombuffer(offs, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if offs[-1] > offs[0] else np.zeros(0, np.uint8)
+        ends = offs - offs[0]
+        starts = self._starts(data, ends)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        of = [*self._ids(pieces.dictionary.to_pylist()), end]
+        at = np.searchsorted(starts, ends)
+        order = np.insert(pieces.indices.to_numpy(zero_copy_only=False), at[1:], len(of) - 1)
+        ids = pa.array(of, pa.large_binary()).take(pa.array(order))
+        _, bounds, raw = ids.buffers()
+        bounds = np.frombuffer(bounds, np.int64)[: len(ids) + 1][at + np.arange(len(at))]
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(bounds)), raw])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list = []
-        for lo in range(0, len(texts), 64):
-            some = texts[lo : lo + 64]
-            split = [t.split(" ") for t in some]
-            first = [w.pop(0) for w in split]
-            if len(self.known) > self.memory // 2:
-                self.known, self.before = {}, self.known
-                self.bare.clear()
-            new = set().union(*split).difference(self.known)
-            if new:
-                self._learn(new)
-            for text, f, rest in zip(some, first, split, strict=True):
-                joined = self._joined(f, rest)
-                out.append(self.whole(text) if joined is None else joined)
-        return out
+        return self.column(pa.array(texts, pa.string())).to_pylist()
+
+
+#: Kinds of bytes: white space, letter, digit, mark, other character, character that may be white space, apostrophe, line feed.
+WHITE, LETTER, DIGIT, MARK, OTHER, UNSURE, QUOTE, FEED = range(8)
+
+
+def _kinds_of_bytes() -> np.ndarray:
+    out = np.full(256, OTHER, np.uint8)
+    out[:32] = out[127] = UNSURE
+    out[33:127] = MARK
+    out[[ord(c) for c in " \t\r"]] = WHITE
+    out[[ord(c) for c in string.ascii_letters]] = LETTER
+    out[[ord(c) for c in string.digits]] = DIGIT
+    out[ord("'")], out[ord("\n")] = QUOTE, FEED
+    return out
+
+
+KINDS = _kinds_of_bytes()
+#: Kinds that are surely no white space.
+SOLID = np.isin(np.arange(8), (LETTER, DIGIT, MARK, OTHER, QUOTE))
+
+
+def _between() -> np.ndarray:
+    """By kind of a byte * 8 + kind of the next: whether a token surely ends between them."""
+    out = np.zeros((8, 8), bool)
+    out[np.ix_(SOLID, [WHITE, FEED])] = True
+    known = [LETTER, DIGIT, MARK, QUOTE]
+    for a in known:
+        out[a, [b for b in known if b != a]] = True
+    out[QUOTE, LETTER] = out[QUOTE, MARK] = out[MARK, QUOTE] = False
+    return out.ravel()
+
+
+BETWEEN = _between()
+
+
+def kinds(data: np.ndarray) -> np.ndarray:
+    """Kind of each byte of UTF-8; all bytes of a character have its kind."""
+    kind = KINDS[data]
+    lead = np.flatnonzero(data >= 0xC2)
+    if not len(lead):
+        return kind
+    after = lambda at, n: data[np.minimum(at + n, len(data) - 1)]
+    byte = data[lead]
+    two = lead[byte == 0xC3]
+    two = two[~np.isin(after(two, 1), (0x97, 0xB7))]  # letters but for the signs of multiplication and division
+    kind[two] = kind[two + 1] = LETTER
+    space = lead[byte == 0xC2]
+    space = space[np.isin(after(space, 1), (0x85, 0xA0))]
+    kind[space] = kind[space + 1] = UNSURE
+    # the general punctuation's, the ideographic, Ogham and Mongolian spaces
+    at = lead[(byte >= 0xE1) & (byte <= 0xE3)]
+    code = data[at].astype(np.uint32) << 16 | after(at, 1).astype(np.uint32) << 8 | after(at, 2)
+    at = at[((code >= 0xE28080) & (code <= 0xE2808A)) | np.isin(code, (0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080, 0xE19A80, 0xE1A08E))]
+    kind[at] = kind[at + 1] = kind[at + 2] = UNSURE
+    return kind
 
 
 def id_kind(size: int) -> str:
@@ -154,6 +217,16 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def groups(batch: pa.RecordBatch, size: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows in runs of about `size` bytes of text in the second column; a longer text is a run of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def _encoded(path: str, end_id: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
@@ -161,10 +234,10 @@ def _encoded(path: str, end_id: int):
         e = encoder(path)
         end = np.array([end_id], e.kind).tobytes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                some = batch.slice(lo, 256)
-                raw = [x + end for x in e.encode([t or "" for t in some.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(x) // len(end) for x in raw], pa.int64()), pa.array(raw, pa.binary())], schema=schema)
+            for some in groups(batch):
+                ids = e.column(some.column(1), end)
+                n = np.diff(np.frombuffer(ids.buffers()[1], np.int64)) // len(end)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), ids.cast(pa.binary())], schema=schema)
 
     return run
 
@@ -381,7 +454,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
     of[counts["id"].to_numpy()] = counts["n"].to_numpy()
     lengths = code_lengths(of).astype(np.uint8).tobytes()
     code = spark.sparkContext.broadcast(lengths)
-    parts = max(1, round(total / PART_BYTES))
+    parts = max(1, min(round(total / PART_BYTES), RANGES), round(total / (PARTS_A_RANGE * PART_BYTES)))
     ordered = ids.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")).select("doc_id", "ids")
     ordered.mapInArrow(_written(code, kind), "part long, first long, n_ids long, data binary").write.option("compression", "none").parquet(path)
     return spark.read.parquet(path), lengths

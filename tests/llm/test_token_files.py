@@ -1,10 +1,12 @@
+import itertools
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from panelforge.llm.token_files import BLOCK, Code, Encoder, code_lengths, encode_documents, read_part, vocabulary_path, write_part
+from panelforge.llm.token_files import BLOCK, Code, Encoder, code_lengths, encode_documents, groups, read_part, vocabulary_path, write_part
 
 
 def test_codes_are_optimal_where_the_limit_allows():
@@ -62,6 +64,29 @@ def test_thousands_of_texts_of_all_kinds_of_characters():
         assert e.encode(texts) == [e.whole(t) for t in texts]
 
 
+def test_short_texts_of_every_kind_of_byte():
+    """All texts of up to four characters from one or two of each kind, next to each other in one column."""
+    e = Encoder(vocabulary_path())
+    texts = ["".join(x) for n in range(5) for x in itertools.product("as1.' \n\té\u00a0\u3000", repeat=n)]
+    assert e.encode(texts) == [bytes(np.array(x.ids, e.kind).data) for x in e.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_a_tokenizer_with_another_rule_gets_whole_texts():
+    e = Encoder(vocabulary_path("word_bpe_49k.json"))
+    texts = ["Two words, 12 and a'b\n\n c", "", "x  y"] * 3
+    assert e.encode(texts) == [e.whole(t) for t in texts]
+
+
+def test_columns_with_nulls_and_offsets():
+    e = Encoder(vocabulary_path())
+    column = pa.array(["left out", "a b", None, "", "c. d<|endoftext|>", "<|endoftext|>e f"])[1:]
+    end = np.array([2], e.kind).tobytes()
+    assert e.column(column, end).to_pylist() == [e.whole(t or "") + end for t in column.to_pylist()]
+    batch = pa.record_batch([pa.array(range(5)), column], names=["doc_id", "text"])
+    assert [g.column(0).to_pylist() for g in groups(batch, 4)] == [[0, 1, 2], [3], [4]]
+    assert list(groups(batch[:0])) == []
+
+
 def test_documents_come_back_from_the_files(spark):
     rows = [(i * 7 % 31, t) for i, t in enumerate(ODD)] + [(40, None), (2, "twice"), (2, "twice"), (None, "no id")]
     e = Encoder(vocabulary_path())
