@@ -21,6 +21,7 @@ from .ewm import ewm_demean
 from .weights import demean, solver_weights
 
 LEAST_ROWS = 5
+COEF = "panel string, asset string, lam double, betas array<double>, rests boolean"
 
 
 @dataclass(frozen=True)
@@ -242,7 +243,9 @@ def fit(model: FactorModel, x: DataFrame, y: DataFrame, clusters: DataFrame | No
         packed = cells.groupBy("panel", "asset").agg(F.sort_array(F.collect_list(F.struct("factor", F.coalesce("sign", F.lit(float("nan"))).alias("sign"), F.coalesce("w", F.lit(1.0)).alias("w"), F.coalesce("g", F.lit(1)).alias("g"), F.coalesce("prior", F.lit(0.0)).alias("prior")))).alias("cells"))
         data = data.join(packed, ["panel", "asset"])
         solve = _solver(model, m, lams, given_signs=derived is not None and model.auto_signs or signs is not None)
-        coef = data.select("panel", "unit", "asset", "rows", "g", "c", "size", "groups", "cells").groupBy("panel", "unit").applyInPandas(solve, "panel string, asset string, lam double, betas array<double>")
+        data = data.select("panel", "unit", "asset", "rows", "g", "c", "size", "groups", "cells")
+        # responses of a lasso are apart from each other: a batch of rows is solved as it comes, without a shuffle
+        coef = data.mapInPandas(lambda frames: map(solve, frames), COEF) if kind == Model.LASSO else data.groupBy("panel", "unit").applyInPandas(solve, COEF)
     coef = coef.persist()
     held.append(coef)
     counts = raw_y.groupBy("panel", "asset").agg(F.count("y").alias("n_valid"))
@@ -255,26 +258,28 @@ def fit(model: FactorModel, x: DataFrame, y: DataFrame, clusters: DataFrame | No
     else:
         coef = coef.withColumn("young", F.lit(False))
     stats = _statistics(coef, mom, m)
-    stats = stats.join(_alpha_const(coef, raw_x, solver_weights(raw_y, model.span), factors), ["panel", "lam", "asset"], "left").join(coef.select("panel", "lam", "asset", "young"), ["panel", "lam", "asset"])
+    stats = stats.join(_alpha_const(coef, raw_x, solver_weights(raw_y, model.span), factors), ["panel", "lam", "asset"], "left").join(coef.select("panel", "lam", "asset", "young", "rests"), ["panel", "lam", "asset"])
     for c in ("alpha", "ss_total", "ss_res", "r2", "alpha_const"):
         stats = stats.withColumn(c, F.when(~F.col("young"), F.col(c)))
-    stats = stats.withColumn("status", F.when(F.col("young"), "warm-up").when(F.col("alpha").isNull(), "too few rows").otherwise("ok")).drop("young")
+    stats = stats.withColumn("status", F.when(F.col("young"), "warm-up").when(F.col("alpha").isNull(), "too few rows").when(~F.col("rests"), "not converged").otherwise("ok")).drop("young", "rests")
     long = coef.select("panel", "lam", "asset", F.posexplode("betas").alias("i", "beta")).select("panel", "lam", "asset", F.element_at(F.array(*map(F.lit, factors)), F.col("i") + 1).alias("factor"), "beta")
     return Fit(model, long, stats, clusters, merges, cutoffs, derived, factors, held)
 
 
 def _solver(model: FactorModel, m: int, lams: list[float], given_signs: bool):
-    """Rows of one unit to their coefficients at every penalty, from large to small with warm starts."""
+    """Responses to their coefficients at every penalty, from large to small with warm starts: the rows of one cluster, or for a lasso any rows."""
     kind = model.model
+    names = ["panel", "asset", "lam", "betas", "rests"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("asset")
-        k, rows = len(pdf), int(pdf["rows"].iloc[0])
-        assets, panel = pdf["asset"].tolist(), pdf["panel"].iloc[0]
-        if rows < LEAST_ROWS:
-            return pd.DataFrame([(panel, a, x, [None] * m) for x in lams for a in assets], columns=["panel", "asset", "lam", "betas"])
-        gs = np.stack([_square(g, m) for g in pdf["g"]]) / rows
-        cs = np.stack([np.asarray(c, float) for c in pdf["c"]]) / rows
+        few = pdf["rows"] < LEAST_ROWS
+        none = [(p, a, x, [None] * m, True) for x in lams for p, a in zip(pdf["panel"][few], pdf["asset"][few], strict=True)]
+        pdf = pdf[~few].sort_values(["panel", "asset"])
+        if pdf.empty:
+            return pd.DataFrame(none, columns=names)
+        k, rows = len(pdf), pdf["rows"].to_numpy(float)
+        gs = np.stack([_square(g, m) for g in pdf["g"]]) / rows[:, None, None]
+        cs = np.stack([np.asarray(c, float) for c in pdf["c"]]) / rows[:, None]
         cell = [[(c["sign"], c["w"], c["g"], c["prior"]) for c in cs_] for cs_ in pdf["cells"]]
         sign, w, gate, prior = (np.array([[c[i] for c in row] for row in cell], float) for i in range(4))
         plain = kind == Model.COOPERATIVE
@@ -286,13 +291,14 @@ def _solver(model: FactorModel, m: int, lams: list[float], given_signs: bool):
         out, start = [], None
         for lam in sorted(lams, reverse=True):
             if kind == Model.LASSO:
-                b = np.stack([solvers.lasso(gs[i], cs[i], lam, lo[i], hi[i], prior[i], w[i] if adaptive else None, None if start is None else start[i]) for i in range(k)])
+                b, rests = solvers.lasso_many(gs, cs, lam, lo, hi, prior, w if adaptive else None, start)
             else:
                 mode = {Model.FCGL: "block", Model.COOPERATIVE: "cooperative"}.get(kind, "row")
-                b = solvers.group_lasso(gs, cs, lam, weight, lo, hi, prior, model.l1_weight, mode, rms(1) if adaptive and mode == "row" else None, rms(0) if adaptive and mode == "block" else None, w if adaptive else None, start)
+                b, rest = solvers.group_lasso(gs, cs, lam, weight, lo, hi, prior, model.l1_weight, mode, rms(1) if adaptive and mode == "row" else None, rms(0) if adaptive and mode == "block" else None, w if adaptive else None, start)
+                rests = np.full(k, rest)
             start = b
-            out += [(panel, a, lam, row.tolist()) for a, row in zip(assets, b, strict=True)]
-        return pd.DataFrame(out, columns=["panel", "asset", "lam", "betas"])
+            out += zip(pdf["panel"], pdf["asset"], [lam] * k, b.tolist(), rests.tolist(), strict=True)
+        return pd.DataFrame(none + out, columns=names)
 
     return run
 
@@ -306,9 +312,9 @@ def _fit_unilasso(model: FactorModel, xd: DataFrame, yd: DataFrame, factors: lis
         y = np.where(np.isfinite(x).any(1), y, np.nan)
         p, a = pdf["panel"].iloc[0], pdf["asset"].iloc[0]
         none = [None] * m
-        return pd.DataFrame([(p, a, lam, none if len(pdf) < LEAST_ROWS else solvers.unilasso(x, y, lam, model.loo, model.uni_nonneg).tolist()) for lam in lams], columns=["panel", "asset", "lam", "betas"])
+        return pd.DataFrame([(p, a, lam, none if len(pdf) < LEAST_ROWS else solvers.unilasso(x, y, lam, model.loo, model.uni_nonneg).tolist(), True) for lam in lams], columns=["panel", "asset", "lam", "betas", "rests"])
 
-    return j.groupBy("panel", "asset").applyInPandas(run, "panel string, asset string, lam double, betas array<double>")
+    return j.groupBy("panel", "asset").applyInPandas(run, COEF)
 
 
 def _statistics(coef: DataFrame, mom: DataFrame, m: int) -> DataFrame:

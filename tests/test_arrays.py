@@ -39,6 +39,20 @@ def test_lasso_meets_its_optimality_conditions():
             assert np.all(np.where(b != 0, np.abs(slope + lam * np.sign(b)) < 1e-8, np.abs(slope) <= lam + 1e-8))
 
 
+def test_many_lassos_are_the_lassos_one_by_one():
+    gs, cs, rng = problem(5, k=40)
+    gs = gs * rng.uniform(0.5, 2, (40, 1, 1))
+    gs[3, :, 1] = gs[3, 1, :] = 0.0  # a factor without variance
+    lo, hi = S.bounds(rng.choice([0, 1, -1, np.nan], cs.shape), False, cs.shape)
+    prior, weight = rng.standard_normal(cs.shape) * 0.1, rng.uniform(0.5, 2, cs.shape)
+    b, rests = S.lasso_many(gs, cs, 0.05, lo, hi, prior, weight)
+    assert rests.all() and b[3, 1] == np.clip(prior[3, 1], lo[3, 1], hi[3, 1])
+    for i in range(40):
+        assert (b[i] == S.lasso(gs[i], cs[i], 0.05, lo[i], hi[i], prior[i], weight[i])).all()
+    short, rests = S.lasso_many(gs, cs, 0.05, lo, hi, prior, weight, most=1)
+    assert not rests.all() and np.isfinite(short).all()
+
+
 def test_lasso_without_penalty_is_least_squares_and_bounds_hold():
     gs, cs, _ = problem(1)
     assert np.allclose(S.lasso(gs[0], cs[0], 0.0, -FREE, FREE), np.linalg.solve(gs[0], cs[0]))
@@ -61,7 +75,7 @@ def test_group_solutions_can_not_be_improved(mode, alpha):
         return sum(quad(g, c, x) for g, c, x in zip(gs, cs, b, strict=True)) + lam * ((1 - alpha) * groups + alpha * np.abs(b).sum())
 
     for lam in (1e-3, 0.1, 0.3):
-        b = S.group_lasso(gs, cs, lam, 1.0, -free, free, zero, alpha, mode)
+        b, _ = S.group_lasso(gs, cs, lam, 1.0, -free, free, zero, alpha, mode)
         at = value(b, lam)
         for _ in range(2000):
             assert value(b + rng.standard_normal(b.shape) * 10.0 ** rng.uniform(-6, 0), lam) >= at - 1e-9
@@ -70,7 +84,7 @@ def test_group_solutions_can_not_be_improved(mode, alpha):
 def test_group_program_of_one_response_is_the_lasso_when_all_is_l1():
     gs, cs, _ = problem(3, k=1)
     free = np.full(cs.shape, np.inf)
-    assert np.allclose(S.group_lasso(gs, cs, 0.2, 1.0, -free, free, 0 * cs, 1.0, "row")[0], S.lasso(gs[0], cs[0], 0.2, -FREE, FREE), atol=1e-6)
+    assert np.allclose(S.group_lasso(gs, cs, 0.2, 1.0, -free, free, 0 * cs, 1.0, "row")[0][0], S.lasso(gs[0], cs[0], 0.2, -FREE, FREE), atol=1e-6)
 
 
 def test_unilasso_keeps_the_signs_of_single_slopes():
