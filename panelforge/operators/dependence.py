@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import Dependence, Distance, span_decay
+from .weights import aged, demean
 
 
 def pairs(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -40,9 +41,7 @@ def spearman(df: DataFrame, key: str = "asset", value: str = "y", min_periods: i
 def gerber(df: DataFrame, key: str = "asset", value: str = "y", span: float | None = None, threshold: float = 0.5) -> DataFrame:
     """Weighted share of joint moves beyond `threshold` deviations, those together less those apart, among times when either moved."""
     decay = 1.0 if span is None else span_decay(span)
-    v = df.where(F.col(value).isNotNull())
-    w = F.pow(F.lit(decay), F.max("t").over(Window.partitionBy("panel")) - F.col("t"))
-    v = v.withColumn("w", w)
+    v = aged(df).where(F.col(value).isNotNull()).withColumn("w", F.pow(F.lit(decay), F.col("age")))
     by = Window.partitionBy("panel", key)
     mean = F.sum(F.col("w") * F.col(value)).over(by) / F.sum("w").over(by)
     v = v.withColumn("m", mean).withColumn("sd", F.sqrt(F.sum(F.col("w") * F.pow(F.col(value) - F.col("m"), F.lit(2))).over(by) / F.sum("w").over(by)))
@@ -60,7 +59,7 @@ def gerber(df: DataFrame, key: str = "asset", value: str = "y", span: float | No
 def ewm_correlation(df: DataFrame, key: str, value: str, span: float, is_corr: bool = True) -> DataFrame:
     """Last state of the covariance recursion from zero, for series without gaps: a weighted sum of products."""
     decay = span_decay(span)
-    v = df.withColumn("w", F.pow(F.lit(decay), F.max("t").over(Window.partitionBy("panel")) - F.col("t")) * (1 - decay))
+    v = aged(df).withColumn("w", F.pow(F.lit(decay), F.col("age")) * (1 - decay))
     one = v.select("panel", "t", "w", F.col(key).alias("a"), F.col(value).alias("va"))
     two = v.select("panel", "t", F.col(key).alias("b"), F.col(value).alias("vb"))
     c = one.join(two, ["panel", "t"]).where("a <= b").groupBy("panel", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("w") * F.col("va") * F.col("vb")).alias("cov"))
@@ -78,8 +77,6 @@ def dependence(df: DataFrame, measure: Dependence, key: str = "asset", value: st
     df = ranked(df, key, value) if measure == Dependence.SPEARMAN else df
     if span is None:
         return pearson(df, key, value)
-    from .weights import demean
-
     return ewm_correlation(demean(df, key, value), key, value, span)
 
 

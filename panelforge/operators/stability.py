@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -205,19 +207,49 @@ def rolling_clusters(corrs: DataFrame, smoother: str = "none", fraction: float =
     return data.groupBy("panel").applyInPandas(run, "panel string, as_of int, asset string, cluster string, cutoff double")
 
 
+#: Rows older than two of these, in units of the time in which a weight falls by e, have no weight any more.
+EPOCH = 300.0
+#: Variance below this share of the mean square is rounding of a series that doesn't move.
+FLAT = 1e-13
+
+
 def correlations_at(y: DataFrame, dates: DataFrame, span: float | None = None) -> DataFrame:
-    """(panel, as_of, a, b, rho): what was known at each date. With a span the weighted products of a pair are summed once and read off at the dates."""
-    from .dependence import pairs
+    """(panel, as_of, a, b, rho): what was known at each date of pairs that have common rows by then; null where a series did not move.
 
-    p = pairs(y, "asset", "y")
-    if span is None:
-        j = p.join(F.broadcast(dates), "panel").where(F.col("t") <= F.col("as_of"))
-        return j.groupBy("panel", "as_of", "a", "b").agg(F.nanvl(F.corr("va", "vb"), F.lit(None)).alias("rho"))
-    lam = span_decay(span)
-    j = p.join(F.broadcast(dates), "panel").where(F.col("t") <= F.col("as_of"))
+    Products of a pair are summed once, between one date and the next, and the sums run over the dates; with a span they decay. Rows later than the last date don't count. With a span, rows older than 300 to 600 times the time in which weights fall by e don't either.
+    """
+    from .dependence import pairs
+    from .weights import demean
+
+    dates = dates.select("panel", "as_of").distinct()
+    # a mean of the whole series keeps the sums of squares small; with a span the products are those of the values given
+    p = pairs(demean(y, "asset", "y") if span is None else y, "asset", "y")
+    times = y.select("panel", "t").distinct()
+    known = times.join(dates, "panel").where("t <= as_of").groupBy("panel", "t").agg(F.min("as_of").alias("as_of"))
+    a, b = F.col("va"), F.col("vb")
+    parts = {"ab": a * b, "aa": a * a, "bb": b * b} | ({"n": F.lit(1.0), "a1": a, "b1": b} if span is None else {})
+    lam = 1.0 if span is None else span_decay(span)
     k = F.pow(F.lit(lam), F.col("as_of") - F.col("t"))
-    s = j.groupBy("panel", "as_of", "a", "b").agg(*(F.sum(k * e).alias(n) for n, e in (("ab", F.col("va") * F.col("vb")), ("aa", F.col("va") * F.col("va")), ("bb", F.col("vb") * F.col("vb")))))
-    return s.select("panel", "as_of", "a", "b", (F.col("ab") / F.nullif(F.sqrt(F.col("aa") * F.col("bb")), F.lit(0.0))).alias("rho"))
+    sums = p.join(known, ["panel", "t"]).groupBy("panel", "a", "b", "as_of").agg(*(F.sum(e if span is None else k * e).alias(f"s_{n}") for n, e in parts.items()))
+    grid = sums.groupBy("panel", "a", "b").agg(F.min("as_of").alias("_first")).join(dates, "panel").where("as_of >= _first").select("panel", "a", "b", "as_of")
+    j = grid.join(sums, ["panel", "a", "b", "as_of"], "left")
+    by, scale, own = ["panel", "a", "b"], F.lit(1.0), F.lit(True)
+    if span is not None:
+        # weights are taken from the end of an epoch, else those of a long panel would leave the range of a double; a date needs its epoch and the one before
+        rate = -math.log(lam)
+        j = j.withColumn("_now", F.floor(F.col("as_of") * rate / EPOCH)).withColumn("_epoch", F.explode(F.array("_now", F.col("_now") + 1)))
+        scale = F.exp((F.col("as_of") * rate - (F.col("_epoch") + 1) * EPOCH))
+        by, own = [*by, "_epoch"], F.col("_epoch") == F.col("_now")
+    w = Window.partitionBy(*by).orderBy("as_of").rowsBetween(Window.unboundedPreceding, 0)
+    run = j.select("panel", "as_of", "a", "b", own.alias("_own"), *(F.sum(F.coalesce(f"s_{n}", F.lit(0.0)) * scale).over(w).alias(f"r_{n}") for n in parts)).where("_own")
+    ab, aa, bb = (F.col(f"r_{n}") for n in ("ab", "aa", "bb"))
+    if span is None:
+        n, a1, b1 = (F.col(f"r_{x}") for x in ("n", "a1", "b1"))
+        va, vb = aa - a1 * a1 / n, bb - b1 * b1 / n
+        rho = F.when((va > FLAT * aa) & (vb > FLAT * bb), (ab - a1 * b1 / n) / (F.sqrt(va) * F.sqrt(vb)))
+    else:
+        rho = F.when((aa > 0) & (bb > 0), ab / (F.sqrt(aa) * F.sqrt(bb)))
+    return run.select("panel", "as_of", "a", "b", rho.alias("rho"))
 
 
 def last_before(freq_months: int) -> Column:

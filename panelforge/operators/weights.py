@@ -18,15 +18,20 @@ def expanding_power(t: Column, last: Column, decay: float) -> Column:
     return F.pow(F.lit(float(decay)), last - t)
 
 
+def aged(df: DataFrame) -> DataFrame:
+    """df with `age`: how many times of its panel come after a row's. Times that are left out of the numbering don't count. Only the panel's times meet in one place, not its rows."""
+    times = df.select("panel", "t").distinct().withColumn("age", F.row_number().over(Window.partitionBy("panel").orderBy(F.desc("t"))) - 1)
+    return df.join(times, ["panel", "t"])
+
+
 def solver_weights(y: DataFrame, span: float | None) -> DataFrame:
     """y with w2, the square of the weight in the loss: decay by age where there is a value, else 0."""
     if span is None:
-        w = F.lit(1.0)
-    else:
-        if span == 1:
-            raise ValueError("a span of 1 leaves no weight to any row but the last")
-        w = expanding_power(F.col("t"), F.max("t").over(Window.partitionBy("panel")), span_decay(span))
-    return y.withColumn("w2", F.when(F.col("y").isNull(), 0.0).otherwise(w))
+        return y.withColumn("w2", F.when(F.col("y").isNull(), 0.0).otherwise(1.0))
+    if span == 1:
+        raise ValueError("a span of 1 leaves no weight to any row but the last")
+    w = F.pow(F.lit(span_decay(span)), F.col("age"))
+    return aged(y).withColumn("w2", F.when(F.col("y").isNull(), 0.0).otherwise(w)).drop("age")
 
 
 def normalised(df: DataFrame, weight: str, by: list[str]) -> DataFrame:
