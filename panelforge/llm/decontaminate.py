@@ -1,6 +1,6 @@
 """Benchmark decontamination as a prefix-filtered set join, in DataFrame functions only.
 
-An item's windows of `window` words are sets of word shingles, and a document holds a window only if it holds all of them. So one shingle is a sufficient prefix: the rarest over all documents. Shingles of the documents that occur in the benchmark at all are found by one scan, and counted; each window then looks its rarest shingle up among them, at the one place in the document where the window could begin; what is found is confirmed by comparing all words of the window. Windows that need a shingle no document has are dropped unseen.
+An item's windows of `window` words are sets of word shingles, and a document holds a window only if it holds all of them. So one shingle is a sufficient prefix: the rarest over all documents. One scan counts the words of the documents and finds their shingles that occur in the benchmark at all; these are counted, and each window then looks its rarest shingle up among them, at the one place in the document where the window could begin; what is found is confirmed by comparing all words of the window. Windows that need a shingle no document has are dropped unseen.
 
 The benchmark's shingles are broadcast where their bytes, which are counted, are at most BROADCAST_BYTES; beyond it the join is a shuffle.
 
@@ -17,9 +17,10 @@ from .common import Scratch, ascii_lower, only, table
 
 #: What separates words: ASCII but for digits and small letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-NOT_SEPARATORS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BROADCAST_BYTES = 64 << 20
 SHINGLE = 3
+#: So many different strings mark the documents in the scan, so that a shuffle deals the marks out.
+MARKS = 4096
 
 
 def words(text: Column) -> Column:
@@ -47,19 +48,23 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 10) -> tuple[DataFrame
     scratch = Scratch(spark, "leaks")
     win = scratch.save(_windows(only(items, "item_id", "text"), window), "windows")
     d = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    rows = d.select("doc_id", "h", F.coalesce(F.regexp_count("text", F.lit(NOT_SEPARATORS)), F.lit(0)).cast("long").alias("n_words"))
     known = scratch.save(win.select("k", F.explode("s").alias("s")).distinct(), "known")
     sizes = {r.k: r.b for r in known.groupBy("k").agg(F.sum(F.octet_length("s") + 32).alias("b")).collect()}
-    seen = None
+    # every document is split once: behind its shingles stands a mark, which the join keeps and which brings the number of words; no shingle begins with a space
+    mark = F.concat(F.lit(" "), F.pmod(F.xxhash64("doc_id", "h"), F.lit(MARKS)).cast("string"))
+    probe = known.select("k", "s").unionByName(spark.range(MARKS).select(F.lit(0).alias("k"), F.concat(F.lit(" "), F.col("id").cast("string")).alias("s")))
+    probe = F.broadcast(probe) if sum(sizes.values()) <= BROADCAST_BYTES else probe
+    # the words stand in a column of their own: an expression inside transform() would be run again for each word
+    part = d.select("doc_id", "h", words(F.coalesce("text", F.lit(""))).alias("w")).select("doc_id", "h", "w", F.size("w").alias("n"), mark.alias("mark"))
+    part = part.select("doc_id", "h", "n", F.posexplode(F.concat(*(_shingles(F.col("w"), k) for k in sorted(sizes)), F.array("mark"))).alias("place", "s")).join(probe, "s")
+    # the shingles of k words stand behind those of fewer
+    before, at = F.lit(0), F.col("place")
     for k in sorted(sizes):
-        probe = known.where(F.col("k") == k).select("s")
-        probe = F.broadcast(probe) if sum(sizes.values()) <= BROADCAST_BYTES else probe
-        # the words stand in a column of their own: an expression inside transform() would be run again for each word
-        part = d.select("doc_id", "h", words(F.col("text")).alias("w")).select("doc_id", "h", F.posexplode(_shingles(F.col("w"), k)).alias("at", "s")).join(probe, "s").withColumn("k", F.lit(k))
-        seen = part if seen is None else seen.unionByName(part)
-    if seen is None:
-        return rows, rows.select("doc_id", "h", F.lit(0).alias("begin"), F.lit(0).alias("end"), F.lit("").alias("item_id")).where("false")
-    seen = scratch.save(seen, "seen").distinct()
+        at = F.when(F.col("k") == k, F.col("place") - before).otherwise(at)
+        before = before + F.greatest(F.lit(0), F.col("n") - (k - 1))
+    seen = scratch.save(part.select("doc_id", "h", "k", "s", at.alias("at"), "n"), "seen")
+    rows = seen.where("k = 0").select("doc_id", "h", F.col("n").cast("long").alias("n_words"))
+    seen = seen.where("k > 0").select("doc_id", "h", "k", "s", "at").distinct()
     df = seen.groupBy("k", "s").agg(F.count(F.lit(1)).alias("df"))
     # each window's rarest shingle; none if a shingle has no place at all
     every = win.select("wid", "k", "s").distinct()

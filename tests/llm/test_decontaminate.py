@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+from panelforge.llm import decontaminate as module
 from panelforge.llm.decontaminate import decontaminate
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -69,3 +70,33 @@ def test_items_without_an_id(spark):
     items = spark.createDataFrame([(None, "one two"), (None, "two"), ("a", "one two")], "item_id string, text string")
     got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontaminate(docs, items).collect()}
     assert got == {1: (2, 2, True), None: (2, 2, True), 2: (0, 0, False)}
+
+
+def test_every_text_is_read_and_split_once(spark):
+    """Items of one word, two words and more need shingles of three sizes, and the words are counted: all in one pass."""
+    items = [(1, "One"), (2, "two three"), (3, "four five six seven eight nine ten eleven twelve thirteen fourteen"), (4, "x y z")]
+    docs = [(i, t) for i, t in enumerate([None, "", "one", "Two", "two, three", "x y z", "x y", "one two three four five six seven eight nine ten eleven twelve thirteen", "nothing, at all. ÄÖ"])]
+    read = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            read.add(len(f))
+            yield f
+
+    d = spark.createDataFrame(docs, "doc_id long, text string").mapInPandas(count, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((tuple(r) for r in decontaminate(d, b).drop("h").collect()), key=str) == brute(docs, items)
+    assert read.value == len(docs)
+
+
+def test_equals_brute_force_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(module, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(module, "MARKS", 2, raising=False)
+    items = [(1, "a"), (2, "b c"), (3, "a b c d e f g h i j k"), (4, "k l m")]
+    docs = [(1, None), (1, None), (2, ""), (3, "a"), (None, "b c"), (None, "B, c"), (4, "x a b c d e f g h i j k l m a"), (4, "x a b c d e f g h i j k l m a"), (5, " 0"), (6, "0 1 2 -1 k l m")]
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert result(spark, docs, items) == brute(docs, items)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
